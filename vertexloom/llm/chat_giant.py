@@ -1,0 +1,43 @@
+"""Perspective rotation of dialogues too long for one task."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from vertexloom.llm.base import stage
+
+ORDER = ["conv_id", "turn", "role", "text"]
+
+
+def rotate_giant(rows: DataFrame, max_turns: int) -> DataFrame:
+    """Rows are range-sorted, numbered by (range, place in it), and cut every ``max_turns`` turns.
+
+    Every participant of the dialogue gets every part, also those in which it is silent.
+    """
+    from vertexloom.llm.chat import SCHEMA, SYSTEM, _frame, _rotated
+
+    nulls_last = [F.asc_nulls_last(c) for c in ORDER]
+    ordered = rows.repartitionByRange(*nulls_last).sortWithinPartitions(*nulls_last)
+    placed = stage(ordered.select(*ORDER, F.monotonically_increasing_id().alias("at")), "chat-giant").withColumn("range", F.shiftright("at", 33))
+    # Several dialogues may share a range, and one may fill many: offsets come from counts and first places.
+    spans = placed.groupBy("conv_id", "range").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select("conv_id", "range", "first", before.alias("before"))
+    at = F.col("p.at") - F.col("s.first") + F.col("s.before")
+    numbered = placed.alias("p").join(spans.alias("s"), F.col("p.conv_id").eqNullSafe(F.col("s.conv_id")) & (F.col("p.range") == F.col("s.range")))
+    numbered = numbered.select("p.conv_id", "p.role", "p.text", at.alias("number"), F.floor(at / max_turns).cast("int").alias("part"))
+    people = placed.where(F.col("role").isNotNull() & (F.col("role") != SYSTEM)).groupBy("conv_id").agg(F.sort_array(F.collect_set("role")).alias("roles"))
+    joined = numbered.alias("n").join(people.alias("r"), F.col("n.conv_id").eqNullSafe(F.col("r.conv_id"))).select("n.*", "r.roles")
+
+    def part(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("number")
+        conv = frame["conv_id"].iloc[0]
+        turns = [(None if pd.isna(r) else r, None if pd.isna(t) else t) for r, t in zip(frame["role"], frame["text"], strict=True)]
+        return _frame(list(_rotated(None if pd.isna(conv) else conv, int(frame["part"].iloc[0]), turns, list(frame["roles"].iloc[0]))))
+
+    return joined.groupBy("conv_id", "part").applyInPandas(part, SCHEMA)
