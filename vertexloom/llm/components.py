@@ -1,0 +1,39 @@
+"""Connected components of a distributed edge list, by alternating large and small stars.
+
+Kiveris et al., "Connected components in MapReduce and beyond".  Minima are aggregated before they are
+shuffled and joined back to the edges, so the neighbours of a hub are never gathered in one task.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vertexloom.llm.base import stage
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+
+
+def _large(edges: DataFrame) -> DataFrame:
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = _least(down)
+    return down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``root``, the least node it is linked with, of every node of ``edges`` (u, v) but the roots."""
+    edges = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = None
+    while True:
+        edges = stage(_small(_large(edges).distinct()).where("u <> v").distinct(), "edges")
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import chat, langid, pieces, quality, sharding, topk, warc
+from vertexloom.llm import chat, decontam, langid, pieces, quality, sharding, simhash, topk, warc
 from vertexloom.llm.base import crc_mod, table
 
 
@@ -18,6 +18,17 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return linked.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 2)
     model = langid.fit(docs, usable=~F.col("held_out"))
@@ -60,5 +71,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_quality, op5_language, op6_warc, op7_shards, op8_top_k, op9_pieces, op10_chat]
+    named = [op2_quality, op3_simhash, op4_decontamination, op5_language, op6_warc, op7_shards, op8_top_k, op9_pieces, op10_chat]
     return {f.__name__: f for f in named}
