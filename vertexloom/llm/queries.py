@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm import chat, decontam, langid, pieces, quality, sharding, simhash, topk, warc
+from vertexloom.llm import chat, decontam, langid, pieces, quality, sharding, simhash, substrings, topk, warc
 from vertexloom.llm.base import crc_mod, table
 
 
+def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod(F.col("doc_id"), 5) == 0)
     labels = table(spark, sf_dir, "labels").where(crc_mod(F.col("doc_id"), 5) != 0)
@@ -71,5 +75,5 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_quality, op3_simhash, op4_decontamination, op5_language, op6_warc, op7_shards, op8_top_k, op9_pieces, op10_chat]
+    named = [op1_substrings, op2_quality, op3_simhash, op4_decontamination, op5_language, op6_warc, op7_shards, op8_top_k, op9_pieces, op10_chat]
     return {f.__name__: f for f in named}
