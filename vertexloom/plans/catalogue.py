@@ -1,11 +1,413 @@
-"""All queries of the graph engine and their DuckDB counterparts."""
+"""All queries of the graph engine; their DuckDB counterparts are in ``oracles``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from vertexloom.functions import shown_distance
+from vertexloom.operators import bfs as B
+from vertexloom.operators import components as C
+from vertexloom.operators import degree as D
+from vertexloom.operators import exchange as X
+from vertexloom.operators import pagerank as P
+from vertexloom.operators import results as R
+from vertexloom.operators import stencil
+from vertexloom.plans import graphs as G
+from vertexloom.plans.oracles import oracles
+from vertexloom.sources import edges as E
+from vertexloom.sources import runlogs as L
 
-def oracles() -> dict[str, str]:
-    return {}
+SOURCE = 8
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _FOUND[f.__name__] = f
+    return f
+
+
+def _logs(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(G.example_logs(), "file string, text string")
+
+
+def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+# Graph basics
+
+
+@query
+def graph_size(s, d):
+    g = G.chain(s, d)
+    return g.size().crossJoin(g.vertices().agg(F.count("*").alias("num_seen")))
+
+
+@query
+def out_degree_all(s, d):
+    return G.chain(s, d, 5).out_degrees()
+
+
+@query
+def in_degree_all(s, d):
+    return G.chain(s, d, 5).in_degrees()
+
+
+@query
+def csr_offsets(s, d):
+    return G.chain(s, d).row_offsets(range_size=1024)
+
+
+@query
+def adjacency_list(s, d):
+    return G.chain(s, d).adjacency_lists().select("src", F.array_join("dsts", ",").alias("dsts"), "out_degree")
+
+
+@query
+def undirected_edges(s, d):
+    return G.chain(s, d, 10).adjacency_sets()
+
+
+@query
+def undirected_edge_total(s, d):
+    return G.copurchase(s, d).adjacency_sets().agg(F.count("*").alias("total"))
+
+
+@query
+def copurchase_size(s, d):
+    return G.copurchase(s, d).size()
+
+
+@query
+def csr_literal(s, d):
+    return G.sample(s).edges
+
+
+# Owners and exchange
+
+
+@query
+def partition_stats(s, d):
+    return G.chain(s, d).partition_stats()
+
+
+@query
+def owner_map(s, d):
+    return X.owner_map(G.chain(s, d))
+
+
+@query
+def counts_by_owner(s, d):
+    return X.counts_by_owner(G.chain(s, d).vertices())
+
+
+@query
+def count_matrix(s, d):
+    return X.count_matrix(G.chain(s, d))
+
+
+@query
+def send_offsets(s, d):
+    return X.send_offsets(G.chain(s, d))
+
+
+@query
+def send_buffer(s, d):
+    packed = X.packed(G.chain(s, d).vertices())
+    return packed.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy("vertex")) - 1)
+
+
+@query
+def local_remote_split(s, d):
+    return X.split_local_remote(G.chain(s, d, 10).vertices(), rank=1)
+
+
+@query
+def all_reduce(s, d):
+    lines = s.read.parquet(f"{d}/lineitem.parquet")
+    return X.all_reduce(lines.select(F.col("l_linenumber").cast("long").alias("index"), F.col("l_suppkey").alias("value")))
+
+
+@query
+def all_reduce_max(s, d):
+    lines = s.read.parquet(f"{d}/lineitem.parquet")
+    return X.all_reduce(lines.select(F.col("l_linenumber").cast("long").alias("index"), F.col("l_partkey").alias("value")), "max")
+
+
+@query
+def axpy(s, d):
+    x = s.range(1000).select(F.col("id").alias("index"), F.col("id").cast("double").alias("value"))
+    y = s.range(1000).select(F.col("id").alias("index"), (F.col("id") % 7).cast("double").alias("value"))
+    return X.axpy(x, y, 3.5)
+
+
+@query
+def sine_wave(s, d):
+    return _rounded(E.sine_wave(s, 500), 9, "value")
+
+
+# Degrees and neighbours
+
+
+@query
+def degrees(s, d):
+    return D.degrees(G.chain(s, d, 5))
+
+
+@query
+def top_degrees(s, d):
+    return D.top_degrees(G.chain(s, d))
+
+
+@query
+def bottom_degrees(s, d):
+    return D.bottom_degrees(G.chain(s, d, 5))
+
+
+@query
+def degree_lookup(s, d):
+    return D.degree_of(G.chain(s, d), SOURCE)
+
+
+@query
+def neighbors_of(s, d):
+    return D.neighbors(G.chain(s, d), SOURCE)
+
+
+@query
+def neighbors_by_owner(s, d):
+    return D.neighbors_by_owner(G.chain(s, d), SOURCE)
+
+
+# BFS
+
+
+@query
+def bfs_hops(s, d):
+    return B.distances(B.bfs(G.chain(s, d), SOURCE)).select("vertex", "hop")
+
+
+@query
+def bfs_ref_distance(s, d):
+    return B.distances(B.bfs(G.chain(s, d), SOURCE)).select("vertex", "ref_distance")
+
+
+@query
+def bfs_unreached(s, d):
+    return B.distances(B.bfs(G.chain(s, d, 5), SOURCE), include_unreached=True)
+
+
+@query
+def bfs_levels(s, d):
+    return _rounded(B.level_histogram(B.bfs(G.chain(s, d), SOURCE).hops), 6, "percent")
+
+
+@query
+def bfs_ref_levels(s, d):
+    shown = B.distances(B.bfs(G.chain(s, d, 5), SOURCE))
+    return _rounded(B.level_histogram(shown, "ref_distance"), 6, "percent")
+
+
+@query
+def bfs_summary(s, d):
+    return _rounded(B.summary(B.bfs(G.chain(s, d), SOURCE)), 6, "visited_percent", "avg_distance")
+
+
+@query
+def bfs_deep(s, d):
+    return B.distances(B.bfs(G.chain(s, d, 5), SOURCE)).select("vertex", "hop")
+
+
+@query
+def bfs_fallback_source(s, d):
+    return B.summary(B.bfs(G.chain(s, d, 5), 10**12)).select("source", "visited")
+
+
+@query
+def bfs_frontier_step(s, d):
+    g = G.chain(s, d)
+    first = s.createDataFrame([(SOURCE,)], "vertex long")
+    second = B.unseen(B.expand(first, g.edges, small=True), first, few_visited=True)
+    return B.unseen(B.expand(second, g.edges, small=True), first.union(second), few_candidates=True)
+
+
+@query
+def bfs_undirected(s, d):
+    return B.distances(B.bfs(G.chain(s, d, 10).undirected(), SOURCE)).select("vertex", "hop")
+
+
+@query
+def bfs_max_hops(s, d):
+    return B.distances(B.bfs(G.chain(s, d), SOURCE, max_hops=2)).select("vertex", "hop")
+
+
+@query
+def bfs_copurchase(s, d):
+    return _rounded(B.level_histogram(B.bfs(G.copurchase(s, d), SOURCE).hops), 6, "percent")
+
+
+@query
+def bfs_sample_graph(s, d):
+    return B.distances(B.bfs(G.sample(s), 0))
+
+
+# PageRank
+
+
+def _ranks(s, d, n):
+    return P.pagerank(G.chain(s, d, 10), tol=None, max_iter=n)
+
+
+@query
+def pagerank_10(s, d):
+    return _rounded(_ranks(s, d, 10).ranks, 12, "rank")
+
+
+@query
+def pagerank_20(s, d):
+    return _rounded(_ranks(s, d, 20).ranks, 12, "rank")
+
+
+@query
+def pagerank_top10(s, d):
+    return P.top_k(_ranks(s, d, 10).ranks, digits=12)
+
+
+@query
+def pagerank_l1_history(s, d):
+    g = G.chain(s, d, 10)
+    return _rounded(P.history(g, P.pagerank(g, tol=None, max_iter=10).differences), 12, "l1_diff")
+
+
+@query
+def pagerank_mass(s, d):
+    return _rounded(P.mass(_ranks(s, d, 10).ranks), 12, "mass")
+
+
+@query
+def pagerank_converged(s, d):
+    return _rounded(P.pagerank(G.chain(s, d, 10)).ranks, 12, "rank")
+
+
+@query
+def pagerank_sample_linf(s, d):
+    return _rounded(P.pagerank(G.sample(s), tol=1e-6, norm="linf").ranks, 12, "rank")
+
+
+# Components
+
+
+@query
+def components(s, d):
+    return C.connected_components(G.chain(s, d, 10))
+
+
+@query
+def component_sizes_top20(s, d):
+    return _rounded(C.largest_components(C.connected_components(G.chain(s, d, 20))), 6, "percent")
+
+
+@query
+def component_buckets(s, d):
+    return _rounded(C.size_buckets(C.connected_components(G.chain(s, d, 20))), 6, "percent")
+
+
+@query
+def component_counts(s, d):
+    g = G.chain(s, d, 20)
+    return C.counts(g, C.connected_components(g))
+
+
+# Benchmark logs and results
+
+
+@query
+def log_partitions(s, d):
+    return L.partition_lines(_logs(s))
+
+
+@query
+def log_partition_totals(s, d):
+    return L.partition_totals(_logs(s))
+
+
+@query
+def log_records(s, d):
+    return L.run_records(_logs(s)).drop("slots_total", "edges_total")
+
+
+@query
+def log_union(s, d):
+    logs = _logs(s)
+    return L.combine(L.run_records(logs).select("dataset", "max_distance"), L.partition_totals(logs).select("file", "edges_total"))
+
+
+@query
+def result_datasets(s, d):
+    return R.distinct_values(L.run_records(_logs(s)), "dataset")
+
+
+@query
+def result_series(s, d):
+    return R.scaling_series(L.run_records(_logs(s)), "total_edges", "traversal_time")
+
+
+@query
+def result_comparison(s, d):
+    return R.comparison(L.run_records(_logs(s)))
+
+
+@query
+def result_axis_limit(s, d):
+    return _rounded(R.axis_limit(L.run_records(_logs(s))), 9, "axis_limit")
+
+
+@query
+def result_cluster_bounds(s, d):
+    return _rounded(R.cluster_bounds(L.run_records(_logs(s))), 9, "x_min", "x_max", "y_min", "y_max")
+
+
+@query
+def result_ratios(s, d):
+    return _rounded(R.ratios(L.run_records(_logs(s))), 9, "ratio")
+
+
+@query
+def result_normalised(s, d):
+    rows = L.run_records(_logs(s)).select("dataset", "implementation", "total_edges")
+    return _rounded(R.normalised(rows, "total_edges", "scaled"), 9, "scaled")
+
+
+@query
+def result_distance_table(s, d):
+    return R.distance_table(L.run_records(_logs(s)), ["CPU", "GPU", "GPU_STF"])
+
+
+@query
+def result_speedup(s, d):
+    return _rounded(R.speedup(L.run_records(_logs(s))), 6, "speedup", "edges_per_second")
+
+
+@query
+def shown_distances(s, d):
+    return s.range(-1, 50).select(F.col("id").alias("hop"), shown_distance("id").alias("ref_distance"))
+
+
+# Stencil
+
+
+@query
+def relaxation(s, d):
+    return _rounded(stencil.relax(stencil.boundary_grid(s, 16, 12), 16, 12, steps=3).cells, 9, "value")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_FOUND)
+
+
+__all__ = ["oracles", "queries"]

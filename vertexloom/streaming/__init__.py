@@ -1,0 +1 @@
+"""Streams: none.  Graphs are loaded whole, and every operator is a batch program."""
