@@ -15,11 +15,11 @@ does.  Rows that repeat are scored alike; extra columns are kept, but ``lang_pre
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from vertexloom.llm.pieces import MARK, MODEL, _appended, _with, common_prefix,
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Probability mass of a character that no piece covers, and the pieces' additive smoothing.
 OUTSIDE, SMOOTHING = 1e-7, 0.01
 
@@ -89,26 +89,32 @@ class Scorer:
 
     def __init__(self, model: Model) -> None:
         self.model, self.rows, self.scores = model, {}, []
+        #: Every ending of a piece, so that a search ends where no piece can go on.
+        self.endings: dict[str, tuple[float, ...]] = {p[i:]: () for p in model.probability for i in range(1, len(p))} | model.probability
 
     def learn(self, words: list[str]) -> None:
-        table, longest, n = self.model.probability, self.model.longest, len(self.model.languages)
+        ending, n = self.endings.get, len(self.model.languages)
         outside = (OUTSIDE,) * n
         forward, log_scale, before = [(1.0,) * n], [0.0], ""
         for word in words:
             shared = common_prefix(before, word)
             del forward[shared + 1 :], log_scale[shared + 1 :]
             for j in range(shared + 1, len(word) + 1):
-                total = [0.0] * n
-                for i in range(max(0, j - longest), j):
-                    p = table.get(word[i:j]) or (outside if i == j - 1 else None)
-                    if p is not None:
-                        f, back = forward[i], math.exp(log_scale[i] - log_scale[j - 1])
-                        total = [t + a * b * back for t, a, b in zip(total, f, p, strict=True)]
+                total, last = [0.0] * n, log_scale[j - 1]
+                for i in range(j - 1, -1, -1):
+                    p = ending(word[i:j])
+                    if not p and i == j - 1:
+                        total = [a * b for a, b in zip(forward[i], outside)]  # noqa: B905
+                    elif p is None:
+                        break
+                    elif p:
+                        back = exp(log_scale[i] - last)
+                        total = [t + a * b * back for t, a, b in zip(total, forward[i], p)]  # noqa: B905
                 scale = max(total) or 1e-300
                 forward.append(tuple(max(t / scale, 1e-250) for t in total))
-                log_scale.append(log_scale[-1] + math.log(scale))
+                log_scale.append(log_scale[-1] + log(scale))
             self.rows[word] = len(self.scores)
-            self.scores.append([math.log(f) + log_scale[-1] for f in forward[-1]] if any(map(str.isalpha, word)) else [0.0] * n)
+            self.scores.append([log(f) + log_scale[-1] for f in forward[-1]] if any(map(str.isalpha, word)) else [0.0] * n)
             before = word
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
