@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vertexloom.plans.staging import shared_folder, stage
+
+__all__ = ["UPPER", "arrow_rows", "crc_mod", "id_text", "packed", "shared_folder", "stage", "table"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -16,46 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, ``spark.checkpoint.dir``.
-
-    Where the session names none, a local session gets a temporary folder; a cluster must name one.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or None
-    if named is None:
-        current = sc._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else None
-    if named is None:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="vertexloom-")
-        sc.setCheckpointDir(named)
-    return named
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
-
-    It cuts the lineage: a lost executor costs a re-read, not a recomputation, and row numbers given
-    before the write can't change after it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_rows(spark: SparkSession, rows: int) -> None:
     """Rows in an Arrow batch at most, so that a Python worker holds a bounded part of its partition."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def ascii_lower(col: Column) -> Column:
-    """A-Z to a-z and nothing else."""
-    return F.translate(col, UPPER, UPPER.lower())
-
-
 def id_text(col: Column) -> Column:
     """An id as text; a null id is the empty text."""
     return F.coalesce(col.cast("string"), F.lit(""))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from vertexloom.llm.base import arrow_rows, stage
-from vertexloom.llm.components import components
+from vertexloom.operators.components import star_roots
 
 SHINGLE, SEED = 3, 42
 MAX_BITS = 3
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF)
     """``doc_id``, ``fp`` and ``component_id`` (the smallest reachable doc_id) of every row of ``docs``."""
     marked = stage(fingerprints(docs), "simhash")
     classes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    roots = components(links(classes.select("fp"), max_bits, leaf))
+    roots = star_roots(links(classes.select("fp"), max_bits, leaf))
     nodes = roots.union(roots.select("root", "root").distinct())
     linked = nodes.join(classes, nodes["node"] == classes["fp"]).select("fp", "root", "first")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
