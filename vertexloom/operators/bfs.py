@@ -1,5 +1,7 @@
 """Breadth-first search: semi-naive frontier expansion, one written level per round.
 
+Graphs that are counted as small run in one task instead (``operators.small``).
+
 A small frontier is broadcast, so the edges are scanned where they lie.  Visited vertices are removed
 by a broadcast while they are few.  Later, if the candidates are few, the visited ones among them are found
 by a semi-join against the candidates, so neither large table is shuffled.  Otherwise both are
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions import percent, shown_distance
 from vertexloom.graph import Graph
+from vertexloom.operators.small import bfs_kernel, in_one_task, is_small
 from vertexloom.plans.staging import Levels
 
 #: Rows of a frontier up to which it is broadcast (16 bytes each).
@@ -26,14 +29,21 @@ BROADCAST_ROWS = 200_000
 
 @dataclass
 class Search:
-    """A finished search: ``hops`` has the reached vertices with ``hop``; sizes and seconds per level."""
+    """A search: ``hops`` has the reached vertices with ``hop``; sizes, and seconds where levels were run one by one."""
 
     graph: Graph
     source: int
     hops: DataFrame
-    level_sizes: list[int]
+    known_sizes: list[int] | None = None
     level_seconds: list[float] = field(default_factory=list)
 
+    @property
+    def level_sizes(self) -> list[int]:
+        if self.known_sizes is None:
+            counted = self.hops.groupBy("hop").count().collect()
+            self.known_sizes = [n for _, n in sorted((r["hop"], r["count"]) for r in counted)]
+        return self.known_sizes
+
 
 def choose_source(num_vertices: int, wanted: int | str | None = None, seed: int | None = None) -> int:
     """The source asked for; 1 if it is out of range; a random one if none is asked for.
@@ -67,9 +77,15 @@ def unseen(candidates: DataFrame, visited: DataFrame, few_visited: bool = False,
     return candidates.join(seen, "vertex", "left_anti")
 
 
-def bfs(graph: Graph, source: int | str | None = None, max_hops: int | None = None, seed: int | None = None, broadcast_rows: int = BROADCAST_ROWS) -> Search:
-    """Distances from one source along the edges' direction."""
+def bfs(graph: Graph, source: int | str | None = None, max_hops: int | None = None, seed: int | None = None, broadcast_rows: int = BROADCAST_ROWS, small_edges: int | None = None) -> Search:
+    """Distances from one source along the edges' direction.
+
+    A graph of ``small_edges`` edges or fewer is searched in one task (0: never).
+    """
     spark = graph.spark
+    if is_small(graph, small_edges):
+        start = choose_source(graph.num_vertices, source, seed)
+        return Search(graph, start, in_one_task(graph.edges, bfs_kernel(start, max_hops), "vertex long, hop int"))
     graph = graph.staged()
     start = choose_source(graph.num_vertices, source, seed)
     levels = Levels(spark, "bfs", "vertex long, hop int")

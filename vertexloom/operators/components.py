@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions import BUCKETS, percent, size_bucket
 from vertexloom.graph import Graph
+from vertexloom.operators.small import components_kernel, in_one_task, is_small
 from vertexloom.plans.staging import stage
 
 
@@ -43,8 +44,13 @@ def star_roots(pairs: DataFrame) -> DataFrame:
         edges = stage(small_star(large_star(edges).distinct()).where("u <> v").distinct(), "stars")
 
 
-def connected_components(graph: Graph) -> DataFrame:
-    """``vertex`` and ``component`` (its least id) of every id that occurs in an edge, edges undirected."""
+def connected_components(graph: Graph, small_edges: int | None = None) -> DataFrame:
+    """``vertex`` and ``component`` (its least id) of every id that occurs in an edge, edges undirected.
+
+    A graph of ``small_edges`` edges or fewer is labelled in one task (0: never).
+    """
+    if is_small(graph, small_edges):
+        return in_one_task(graph.edges, components_kernel, "vertex long, component long")
     roots = star_roots(graph.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
     labelled = graph.vertices().join(roots.withColumnRenamed("node", "vertex"), "vertex", "left")
     return labelled.select("vertex", F.coalesce("root", "vertex").alias("component"))

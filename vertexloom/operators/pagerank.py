@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
+from vertexloom.operators.small import in_one_task, is_small, pagerank_kernel
 from vertexloom.plans.staging import stage
 
 NORMS = {
@@ -49,12 +50,18 @@ def step(edges: DataFrame, ranks: DataFrame, n: int, damping: float) -> DataFram
     return ranks.select("vertex", F.col("rank").alias("prev")).join(got, "vertex", "left").select("vertex", new.alias("rank"), "prev")
 
 
-def pagerank(graph: Graph, damping: float = 0.85, tol: float | None = 1e-5, max_iter: int = 100, norm: str = "l1") -> Ranking:
+def pagerank(graph: Graph, damping: float = 0.85, tol: float | None = 1e-5, max_iter: int = 100, norm: str = "l1", small_edges: int | None = None) -> Ranking:
     """Ranks of every id from 0 to N-1; dangling vertices give nothing on.
 
     Stops when the difference of two iterations is ``tol`` or less, or after ``max_iter``; without
-    ``tol`` after exactly ``max_iter``.
+    ``tol`` after exactly ``max_iter``.  A graph of ``small_edges`` edges or fewer is ranked in one task (0: never).
     """
+    if is_small(graph, small_edges):
+        kernel = pagerank_kernel(graph.num_vertices, damping, tol, max_iter, norm)
+        done = stage(in_one_task(graph.edges, kernel, "kind int, id long, value double"), "ranks")
+        found = [r["value"] for r in sorted(done.where("kind = 1").collect(), key=lambda r: r["id"])]
+        ranks = done.where("kind = 0").select(F.col("id").alias("vertex"), F.col("value").alias("rank"))
+        return Ranking(ranks, found, bool(found) and tol is not None and found[-1] <= tol)
     n = graph.num_vertices
     edges = weighted_edges(graph)
     ranks = graph.ids().select("vertex", F.lit(1.0 / max(n, 1)).alias("rank"))

@@ -251,6 +251,16 @@ def bfs_copurchase(s, d):
     return _rounded(B.level_histogram(B.bfs(G.copurchase(s, d), SOURCE).hops), 6, "percent")
 
 
+@query
+def bfs_levels_distributed(s, d):
+    return _rounded(B.level_histogram(B.bfs(G.chain(s, d), SOURCE, small_edges=0).hops), 6, "percent")
+
+
+@query
+def bfs_deep_distributed(s, d):
+    return B.distances(B.bfs(G.chain(s, d, 5), SOURCE, small_edges=0)).select("vertex", "hop")
+
+
 @query
 def bfs_sample_graph(s, d):
     return B.distances(B.bfs(G.sample(s), 0))
@@ -273,6 +283,11 @@ def pagerank_20(s, d):
     return _rounded(_ranks(s, d, 20).ranks, 12, "rank")
 
 
+@query
+def pagerank_10_distributed(s, d):
+    return _rounded(P.pagerank(G.chain(s, d, 10), tol=None, max_iter=10, small_edges=0).ranks, 12, "rank")
+
+
 @query
 def pagerank_top10(s, d):
     return P.top_k(_ranks(s, d, 10).ranks, digits=12)
@@ -307,6 +322,11 @@ def components(s, d):
     return C.connected_components(G.chain(s, d, 10))
 
 
+@query
+def components_distributed(s, d):
+    return C.connected_components(G.chain(s, d, 10), small_edges=0)
+
+
 @query
 def component_sizes_top20(s, d):
     return _rounded(C.largest_components(C.connected_components(G.chain(s, d, 20))), 6, "percent")

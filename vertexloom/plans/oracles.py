@@ -80,7 +80,7 @@ def oracles() -> dict[str, str]:
     owners = "o AS (SELECT unnest(range(0, 4))::INTEGER AS owner)"
     deep = _bfs(e5, str(S), 40)
     full = _bfs(e1, str(S), 12)
-    return {
+    found = {
         "graph_size": f"WITH {e1} SELECT max(greatest(src, dst)) + 1 AS num_vertices, count(*) AS num_edges, (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e)) AS num_seen FROM e",
         "out_degree_all": f"WITH {e5}, {_N}, {_IDS} SELECT vertex, count(src)::BIGINT AS degree FROM ids LEFT JOIN e ON src = vertex GROUP BY vertex",
         "in_degree_all": f"WITH {e5}, {_N}, {_IDS} SELECT vertex, count(dst)::BIGINT AS degree FROM ids LEFT JOIN e ON dst = vertex GROUP BY vertex",
@@ -161,3 +161,5 @@ FROM x a JOIN x b ON a.dataset = b.dataset AND b.implementation = 'CPU'""",
         "shown_distances": f"SELECT hop, {_SHOWN} AS ref_distance FROM range(-1, 50) t(hop)",
         "relaxation": f"{_grid(3, 16, 12)} SELECT y, x, round(value, 9) AS value FROM g3",
     }
+    same = ("bfs_levels", "bfs_deep", "pagerank_10", "components")
+    return found | {f"{name}_distributed": found[name] for name in same}
