@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vertexloom.functions import BUCKETS, percent, size_bucket
 from vertexloom.graph import Graph
 from vertexloom.operators.small import components_kernel, in_one_task, is_small
-from vertexloom.plans.staging import stage
+from vertexloom.plans.staging import discard, stage
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -40,8 +40,9 @@ def star_roots(pairs: DataFrame) -> DataFrame:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        before, old = state, edges
         edges = stage(small_star(large_star(edges).distinct()).where("u <> v").distinct(), "stars")
+        discard(old)
 
 
 def connected_components(graph: Graph, small_edges: int | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
 from vertexloom.operators.small import in_one_task, is_small, pagerank_kernel
-from vertexloom.plans.staging import stage
+from vertexloom.plans.staging import discard, stage
 
 NORMS = {
     "l1": lambda d: F.sum(F.abs(d)),
@@ -66,10 +66,14 @@ def pagerank(graph: Graph, damping: float = 0.85, tol: float | None = 1e-5, max_
     edges = weighted_edges(graph)
     ranks = graph.ids().select("vertex", F.lit(1.0 / max(n, 1)).alias("rank"))
     differences: list[float] = []
+    old = None
     while n and len(differences) < max_iter:
         seen = Observation()
         new = step(edges, ranks, n, damping)
-        ranks = stage(new.observe(seen, NORMS[norm](F.col("rank") - F.col("prev")).alias("d")), "ranks").select("vertex", "rank")
+        written = stage(new.observe(seen, NORMS[norm](F.col("rank") - F.col("prev")).alias("d")), "ranks")
+        if old is not None:
+            discard(old)
+        old, ranks = written, written.select("vertex", "rank")
         differences.append(seen.get["d"])
         if tol is not None and differences[-1] <= tol:
             break

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.plans.staging import stage
+from vertexloom.plans.staging import discard, stage
 
 
 @dataclass
@@ -41,10 +41,14 @@ def relax_step(cells: DataFrame, nx: int, ny: int) -> DataFrame:
 def relax(cells: DataFrame, nx: int, ny: int, steps: int = 1000, tol: float = 1e-8) -> Relaxation:
     """Steps until the L2 norm of a step is ``tol`` or less, or for ``steps``."""
     norms: list[float] = []
+    old = None
     while len(norms) < steps:
         seen = Observation()
         moved = relax_step(cells, nx, ny).observe(seen, F.sqrt(F.sum((F.col("value") - F.col("prev")) * (F.col("value") - F.col("prev")))).alias("n"))
-        cells = stage(moved, "grid").select("y", "x", "value")
+        written = stage(moved, "grid")
+        if old is not None:
+            discard(old)
+        old, cells = written, written.select("y", "x", "value")
         norms.append(seen.get["n"])
         if norms[-1] <= tol:
             break

@@ -32,7 +32,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.staged_path = path
+    return written
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete the files of a staged table that nothing will read again; other frames are left alone."""
+    path = getattr(staged, "staged_path", None)
+    if path is not None:
+        jvm, jsc = staged.sparkSession._jvm, staged.sparkSession.sparkContext._jsc
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
 class Levels:
