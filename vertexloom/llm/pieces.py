@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi search.
 
 A text is marked as SentencePiece does (a leading mark, blanks become marks) and cut before every run
-of marks; no piece of the vocabulary reaches over such a cut, so words are encoded one by one.  The
-distinct words of a batch are sorted, which is the depth-first order of their trie: what a word has in
+of marks, between letters and signs, and around line ends; no piece of the vocabulary reaches over
+such a cut (checked when it is loaded), so words are encoded one by one.  The distinct words of a batch are sorted, which is the depth-first order of their trie: what a word has in
 common with the one before it keeps its forward scores, and only the rest of the word is searched.
 
 The public model at hand holds merge ranks, not log-probabilities: its "scores" are minus the rank.
@@ -32,10 +32,10 @@ from vertexloom.llm.base import arrow_rows
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: A cut before each run of marks; line ends are in no piece, so they stand alone.
-WORDS = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+#: Word characters that some piece joins to a sign count as signs.
+JOINED = re.compile(r"([^\W_])[\W_]|[\W_]([^\W_])")
 #: Words whose pieces a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 class Vocabulary:
@@ -62,9 +62,17 @@ class Vocabulary:
                 self.bytes_of.append(piece.replace(MARK, " ").encode())
         self.longest = max(map(len, self.table))
         self.byte_score = -math.log(size + 1) - harmonic
-        if any(MARK in p.lstrip(MARK) or "\n" in p for p in self.table):
+        #: Every ending of a piece; those that are pieces themselves have an id and a score.
+        self.endings: dict[str, tuple] = {p[i:]: () for p in self.table for i in range(1, len(p))} | self.table
+        odd = re.escape("".join(sorted({x or y for p in self.table for x, y in JOINED.findall(p.lstrip(MARK))})))
+        self.words = re.compile(f"\n|{MARK}*(?:[^\\W_{odd}]+|(?:[^\\w{MARK}\n]|[_{odd}])+)|{MARK}+")
+        if not all(map(self.words.fullmatch, self.table)):
             raise ValueError(f"{path}: a piece reaches over a word's end")
 
+    def cut(self, text: str | None) -> list[str]:
+        """The marked words of a text."""
+        return self.words.findall(MARK + text.replace(" ", MARK)) if text else []
+
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str = MODEL) -> Vocabulary:
@@ -81,15 +89,18 @@ def encode_words(words: list[str], vocab: Vocabulary) -> Iterator[tuple[str, lis
     ``score[j]`` is the best log-probability of the first j characters, ``back[j]`` the start of its
     last piece; both are kept over the prefix that a word shares with its predecessor.
     """
-    table, longest = vocab.table, vocab.longest
+    table, ending = vocab.table, vocab.endings.get
     score, back, before = [0.0], [0], ""
     for word in words:
         shared = common_prefix(before, word)
         del score[shared + 1 :], back[shared + 1 :]
         for j in range(shared + 1, len(word) + 1):
             best, at = -math.inf, j - 1
-            for i in range(max(0, j - longest), j):
-                if (piece := table.get(word[i:j])) and score[i] + piece[1] > best:
+            for i in range(j - 1, -1, -1):
+                piece = ending(word[i:j])
+                if piece is None:
+                    break
+                if piece and score[i] + piece[1] >= best:
                     best, at = score[i] + piece[1], i
             if best == -math.inf or word[j - 1] not in table and score[j - 1] + vocab.byte_score * len(word[j - 1].encode()) > best:
                 best, at = score[j - 1] + vocab.byte_score * len(word[j - 1].encode()), j - 1
@@ -112,7 +123,7 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's piece ids as the bytes of 32-bit integers."""
-        cut = [WORDS.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
+        cut = list(map(self.vocab.cut, texts))
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = sorted({w for words in cut for w in words}.difference(self.known))
@@ -122,9 +133,8 @@ class Encoder:
 
 
 def decode(ids: list[int], vocab: Vocabulary) -> str:
-    """The text of piece ids; ids outside the vocabulary are skipped."""
-    pieces = vocab.bytes_of
-    raw = b"".join([pieces[i] for i in ids if 0 <= i < len(pieces)])
+    """The text of piece ids; raises for an id outside the vocabulary."""
+    raw = b"".join(map(vocab.bytes_of.__getitem__, ids))
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
@@ -137,10 +147,13 @@ def _with(batch: pa.RecordBatch, schema: T.StructType, new: dict[str, pa.Array])
     return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
 
-def encode(df: DataFrame, text: str = "text", into: str = "pieces", path: str = MODEL) -> DataFrame:
-    """``df`` with ``into``, an array of piece ids of ``text``; a column of that name is replaced."""
-    schema = _appended(df, {into: T.ArrayType(T.IntegerType())})
-    arrow_rows(df.sparkSession, 1000)
+def encode(df: DataFrame, text: str = "text", into: str = "pieces", path: str = MODEL, check: str | None = None) -> DataFrame:
+    """``df`` with ``into``, an array of piece ids of ``text``; a column of that name is replaced.
+
+    ``check`` names a boolean column that says whether the ids decode to the text again (null: true).
+    """
+    schema = _appended(df, {into: T.ArrayType(T.IntegerType())} | ({check: T.BooleanType()} if check else {}))
+    arrow_rows(df.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
@@ -150,7 +163,11 @@ def encode(df: DataFrame, text: str = "text", into: str = "pieces", path: str =
             ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(coded), dtype=np.int32))
             nulls = np.array([t is None for t in texts] + [False])
-            yield _with(batch, schema, {into: pa.ListArray.from_arrays(pa.array(ends, mask=nulls), values)})
+            new = {into: pa.ListArray.from_arrays(pa.array(ends, mask=nulls), values)}
+            if check:
+                back = (decode(np.frombuffer(c, dtype=np.int32).tolist(), encoder.vocab) for c in coded)
+                new[check] = pa.array([(t or "").replace(MARK, " ") == b for t, b in zip(texts, back, strict=True)])
+            yield _with(batch, schema, new)
 
     return df.mapInArrow(run, schema)
 
@@ -163,7 +180,9 @@ def decode_column(df: DataFrame, pieces: str = "pieces", into: str = "decoded",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            out = [None if ids is None else decode(ids, vocab) for ids in (x.as_py() for x in batch.column(pieces))]
+            column = batch.column(pieces)
+            ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            out = [decode(values[a:b].tolist(), vocab) if ok else None for a, b, ok in zip(ends, ends[1:], column.is_valid().to_pylist())]  # noqa: B905
             yield _with(batch, schema, {into: pa.array(out, pa.string())})
 
     return df.mapInArrow(run, schema)
