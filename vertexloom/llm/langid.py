@@ -5,9 +5,9 @@ word's probability is the sum over all its segmentations, by the forward algorit
 product over its words.  The piece probabilities are fitted by expectation maximisation: forward and
 backward scores give each piece's expected count.
 
-The classifier is fitted on a bounded sample of labelled rows: the ``rows_per_language`` rows of each
-language with the smallest hash of their id, and of their words the ``words_per_language`` most
-frequent.  Scoring covers every row and every word of it.
+The classifier is fitted on a bounded sample of labelled rows: of each language those whose hash of id
+and text falls under the share that gives ``rows_per_language`` rows, copies once, and of their words
+the ``words_per_language`` most frequent.  Scoring covers every row and every word of it.
 
 Null texts and texts without a letter get ``und`` and score 0; with no labelled row at all, every text
 does.  Rows that repeat are scored alike; extra columns are kept, but ``lang_pred`` and ``score`` are replaced.
@@ -138,9 +138,10 @@ def fit(docs: DataFrame, label: str = "lang", usable: Column | None = None, rows
     spark = docs.sparkSession
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
     rows = rows.where(usable) if usable is not None else rows
-    order = Window.partitionBy(label).orderBy(F.xxhash64(id_text(F.col("doc_id"))), "doc_id")
-    chosen = rows.select(label, "doc_id", F.row_number().over(order).alias("n")).where(F.col("n") <= rows_per_language)
-    sample = rows.select("doc_id", label, "text").join(F.broadcast(chosen.select("doc_id", label).distinct()), ["doc_id", label], "left_semi")
+    share = rows.groupBy(label).agg(F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
+    key = F.xxhash64(id_text(F.col("doc_id")), "text")
+    drawn = rows.select(label, "text", key.alias("key")).join(F.broadcast(share), label)
+    sample = drawn.where(F.pmod("key", F.lit(1 << 31)) < F.col("share") * (1 << 31)).dropDuplicates([label, "key"])
     arrow_rows(spark, 500)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
