@@ -12,37 +12,55 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions import BUCKETS, percent, size_bucket
 from vertexloom.graph import Graph
-from vertexloom.operators.small import components_kernel, in_one_task, is_small
+from vertexloom.operators.small import SMALL_EDGES, components_kernel, in_one_task, is_small
 from vertexloom.plans.staging import discard, stage
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    """``u`` and the least, ``m``, of its neighbourhood.
+
+    Written, so that the join back to the edges stands on two plain exchanges: only then can adaptive
+    execution split the partition of a hub.
+    """
+    return stage(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "star-minima")
 
 
 def large_star(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour is linked to the least of the neighbourhood."""
+    """Every larger neighbour is linked to the least of the neighbourhood.  A written table."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = _least(both)
+    linked = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+    discard(least)
+    return linked
 
 
 def small_star(edges: DataFrame) -> DataFrame:
-    """Every smaller neighbour, and the vertex itself, is linked to the least of them."""
+    """Every smaller neighbour, and the vertex itself, is linked to the least of them.  A written table."""
     least = _least(edges)
-    return edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = stage(moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small-stars")
+    discard(least)
+    return linked
 
 
-def star_roots(pairs: DataFrame) -> DataFrame:
-    """``node`` and ``root`` (least of its component) of each node of ``pairs`` (u, v) that isn't a root."""
+def star_roots(pairs: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
+    """``node`` and ``root`` (least of its component) of each node of ``pairs`` (u, v) that isn't a root.
+
+    Up to ``small_edges`` distinct pairs, counted, are joined in one task.
+    """
     edges = stage(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if before is None and state[0] <= small_edges:
+            found = in_one_task(edges.select(F.col("u").alias("src"), F.col("v").alias("dst")), components_kernel, "vertex long, component long")
+            return found.where("vertex <> component").select(F.col("vertex").alias("node"), F.col("component").alias("root"))
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before, old = state, edges
-        edges = stage(small_star(large_star(edges).distinct()).where("u <> v").distinct(), "stars")
-        discard(old)
+        before, large = state, large_star(edges)
+        discard(edges)
+        edges = small_star(large)
+        discard(large)
 
 
 def connected_components(graph: Graph, small_edges: int | None = None) -> DataFrame:
@@ -52,7 +70,7 @@ def connected_components(graph: Graph, small_edges: int | None = None) -> DataFr
     """
     if is_small(graph, small_edges):
         return in_one_task(graph.edges, components_kernel, "vertex long, component long")
-    roots = star_roots(graph.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    roots = star_roots(graph.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), small_edges=0)
     labelled = graph.vertices().join(roots.withColumnRenamed("node", "vertex"), "vertex", "left")
     return labelled.select("vertex", F.coalesce("root", "vertex").alias("component"))
 
