@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.plans.staging import shared_folder, stage
+from vertexloom.plans.staging import discard, shared_folder, stage
 
-__all__ = ["UPPER", "arrow_rows", "crc_mod", "id_text", "packed", "shared_folder", "stage", "table"]
+__all__ = ["UPPER", "arrow_rows", "crc_mod", "discard", "id_text", "packed", "shared_folder", "stage", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
