@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF)
     linked = nodes.join(classes, nodes["node"] == classes["fp"]).select("fp", "root", "first")
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
     final = classes.join(named, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
-    return marked.join(final, "fp").select("doc_id", "fp", "component_id")
+    # Written, so that the join stands on two plain exchanges and a hot fingerprint's partition can be split.
+    return marked.join(stage(final, "simhash-components"), "fp").select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
