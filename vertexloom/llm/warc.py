@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm.base import arrow_rows, shared_folder
+from vertexloom.llm.base import arrow_rows, shared_folder, stage
 
 VERSION, MEMBER, BLANK = b"WARC/1.", b"\x1f\x8b\x08", b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -180,7 +180,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("same", F.when(F.octet_length("html") >= min_bytes, F.sha1(F.col("html").cast("binary"))))
     firsts = rows.where("same is not null").groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
-    marked = rows.join(firsts, "same", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    # Written, so that the join stands on two plain exchanges and a hot payload's partition can be split.
+    marked = rows.join(stage(firsts, "warc-firsts"), "same", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
