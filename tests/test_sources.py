@@ -34,6 +34,22 @@ def test_matrix_market_size_line_is_no_edge(spark, tmp_path):
     assert edges.read_graph(spark, str(f)).edges.count() == 8
 
 
+def test_banner_marks_matrix_market_under_any_name(spark, tmp_path):
+    f = tmp_path / "graph.txt"
+    f.write_text("%%MatrixMarket matrix coordinate pattern general\n4 4 2\n1 2\n2 3\n")
+    assert values(edges.read_graph(spark, str(f)).edges, "src", "dst") == [(1, 2), (2, 3)]
+
+
+def test_suite_runs_every_file(spark, tmp_path):
+    from vertexloom.plans.suite import run_suite
+
+    for name, pairs in (("one.edges", M2), ("two.edges", [(i, i + 1) for i in range(12)])):
+        (tmp_path / name).write_text("".join(f"{a} {b}\n" for a, b in pairs))
+    found = {r["dataset"]: r for r in run_suite(spark, [str(tmp_path / n) for n in ("one.edges", "two.edges")], source=1).collect()}
+    assert (found["one.edges"]["visited_vertices"], found["one.edges"]["max_distance"]) == (4, 4)
+    assert (found["two.edges"]["visited_vertices"], found["two.edges"]["bfs_levels"], found["two.edges"]["edges_total"]) == (12, 12, 12)
+
+
 def test_parquet_graph(spark, tmp_path):
     path = str(tmp_path / "g.parquet")
     graphs.from_pairs(spark, M2).edges.write.parquet(path)

@@ -74,6 +74,7 @@ def test_source_rules():
 def test_pagerank_sample(spark, small):
     r = P.pagerank(graphs.sample(spark), small_edges=small)
     assert r.converged and r.iterations == 36
+    assert tuple(P.summary(graphs.sample(spark), r, 3.6).first())[:2] == (36, True)
     expected = [0.18765228, 0.33325162, 0.05654287, 0.09700967, 0.05713347, 0.05713347, 0.09700967, 0.05713347, 0.05713347]
     assert [x for _, x in values(r.ranks, "vertex", "rank")] == pytest.approx(expected, abs=1e-7)
     assert P.mass(r.ranks).first()["mass"] == pytest.approx(1)

@@ -11,6 +11,7 @@ a level's count is observed while it is written.
 
 from __future__ import annotations
 
+import logging
 import random
 import time
 from dataclasses import dataclass, field
@@ -23,6 +24,8 @@ from vertexloom.graph import Graph
 from vertexloom.operators.small import bfs_kernel, in_one_task, is_small
 from vertexloom.plans.staging import Levels
 
+log = logging.getLogger(__name__)
+
 #: Rows of a frontier up to which it is broadcast (16 bytes each).
 BROADCAST_ROWS = 200_000
 
@@ -93,6 +96,7 @@ def bfs(graph: Graph, source: int | str | None = None, max_hops: int | None = No
     sizes, seconds = [1], []
     while sizes[-1] and (max_hops is None or len(sizes) <= max_hops):
         began = time.perf_counter()
+        spark.sparkContext.setJobDescription(f"bfs: level {len(sizes)}")
         few_visited = sum(sizes) <= broadcast_rows
         found = expand(frontier.select("vertex"), graph.edges, sizes[-1] <= broadcast_rows)
         few_candidates = False
@@ -105,6 +109,8 @@ def bfs(graph: Graph, source: int | str | None = None, max_hops: int | None = No
         found.unpersist()
         sizes.append(seen.get["n"])
         seconds.append(time.perf_counter() - began)
+        log.info("level %d: %d vertices", len(sizes) - 1, sizes[-1])
+    spark.sparkContext.setJobDescription(None)
     return Search(graph, start, levels.all(), sizes if sizes[-1] else sizes[:-1], seconds)
 
 

@@ -7,6 +7,7 @@ the old ones is observed on the way.
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation
@@ -16,6 +17,8 @@ from vertexloom.graph import Graph
 from vertexloom.operators.small import in_one_task, is_small, pagerank_kernel
 from vertexloom.plans.staging import discard, stage
 
+log = logging.getLogger(__name__)
+
 NORMS = {
     "l1": lambda d: F.sum(F.abs(d)),
     "linf": lambda d: F.max(F.abs(d)),
@@ -69,14 +72,17 @@ def pagerank(graph: Graph, damping: float = 0.85, tol: float | None = 1e-5, max_
     old = None
     while n and len(differences) < max_iter:
         seen = Observation()
+        graph.spark.sparkContext.setJobDescription(f"pagerank: iteration {len(differences) + 1}")
         new = step(edges, ranks, n, damping)
         written = stage(new.observe(seen, NORMS[norm](F.col("rank") - F.col("prev")).alias("d")), "ranks")
         if old is not None:
             discard(old)
         old, ranks = written, written.select("vertex", "rank")
         differences.append(seen.get["d"])
+        log.info("iteration %d: %.9g", len(differences), differences[-1])
         if tol is not None and differences[-1] <= tol:
             break
+    graph.spark.sparkContext.setJobDescription(None)
     return Ranking(ranks, differences, bool(differences) and tol is not None and differences[-1] <= tol)
 
 
@@ -90,6 +96,13 @@ def mass(ranks: DataFrame) -> DataFrame:
     return ranks.agg(F.sum("rank").alias("mass"))
 
 
+def summary(graph: Graph, ranking: Ranking, seconds: float = 0.0) -> DataFrame:
+    """One row: ``iterations``, ``converged``, the last ``difference`` and the mean ``seconds_per_iteration``."""
+    last = ranking.differences[-1] if ranking.differences else None
+    row = (ranking.iterations, ranking.converged, last, seconds / max(1, ranking.iterations))
+    return graph.spark.createDataFrame([row], "iterations int, converged boolean, difference double, seconds_per_iteration double")
+
+
 def history(graph: Graph, differences: list[float]) -> DataFrame:
     """``iteration`` from 1 and ``l1_diff``."""
     return graph.spark.createDataFrame(list(enumerate(differences, 1)), "iteration int, l1_diff double")

@@ -70,11 +70,19 @@ def read_matrix_market(spark: SparkSession, path: str, strict: bool = False) ->
     return Graph(_edges(parts, strict)), header
 
 
+def is_matrix_market(spark: SparkSession, path: str) -> bool:
+    """By the name, or by the banner in the first line."""
+    if path.endswith((".mtx", ".mtx.gz")):
+        return True
+    first = spark.read.text(path).limit(1).collect()
+    return bool(first) and first[0]["value"].startswith("%%MatrixMarket")
+
+
 def read_graph(spark: SparkSession, path: str, strict: bool = False) -> Graph:
-    """By name: ``.mtx`` as MatrixMarket, ``.parquet`` by its src and dst columns, all else as an edge list."""
+    """``.parquet`` by its src and dst columns, MatrixMarket by name or banner, all else as an edge list."""
     if path.rstrip("/").endswith(".parquet"):
         return Graph.from_edges(spark.read.parquet(path), validate=strict)
-    if path.endswith((".mtx", ".mtx.gz")):
+    if is_matrix_market(spark, path):
         return read_matrix_market(spark, path, strict)[0]
     return read_edge_list(spark, path, strict)
 
