@@ -82,10 +82,7 @@ def uniform_shards(df: DataFrame, shards: int, seed: int = 7, range_rows: int =
     spark = df.sparkSession
     if shards < 1:
         raise ValueError("shards must be 1 or more")
-    limit = max(1, MAX_CELLS // shards)
-    rows = packed(df)
-    if rows.rdd.getNumPartitions() > limit:
-        rows = rows.coalesce(limit)
+    rows = packed(df).coalesce(max(1, MAX_CELLS // shards))  # fewer sources only if there are more
     local = (
         rows.withColumn("key", F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
         .sortWithinPartitions("key")
