@@ -82,11 +82,11 @@ def component_sizes(components: DataFrame) -> DataFrame:
 def largest_components(components: DataFrame, k: int = 20) -> DataFrame:
     """``rank``, ``component``, ``size``, ``percent`` of all vertices, of the k largest; ties to the smaller label."""
     sizes = component_sizes(components)
-    total = sizes.agg(F.sum("size").alias("total"))
+    total = sizes.agg(F.sum("size")).scalar()
     top = sizes.orderBy(F.desc("size"), "component").limit(k)
     ranked = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("order"), "component", "size"))).alias("all"))
-    rows = ranked.select(F.posexplode("all").alias("at", "c")).crossJoin(F.broadcast(total))
-    return rows.select((F.col("at") + 1).alias("rank"), "c.component", "c.size", percent("c.size", "total").alias("percent"))
+    rows = ranked.select(F.posexplode("all").alias("at", "c"))
+    return rows.select((F.col("at") + 1).alias("rank"), "c.component", "c.size", percent("c.size", total).alias("percent"))
 
 
 def size_buckets(components: DataFrame) -> DataFrame:
@@ -94,11 +94,12 @@ def size_buckets(components: DataFrame) -> DataFrame:
     counted = component_sizes(components).groupBy(size_bucket("size").alias("bucket")).agg(F.count("*").alias("components"))
     every = components.sparkSession.createDataFrame([(b,) for b in BUCKETS], "bucket string")
     joined = every.join(counted, "bucket", "left").fillna(0, ["components"])
-    total = counted.agg(F.sum("components").alias("total"))
-    return joined.crossJoin(F.broadcast(total)).select("bucket", "components", percent("components", "total").alias("percent"))
+    total = counted.agg(F.coalesce(F.sum("components"), F.lit(0))).scalar()
+    return joined.select("bucket", "components", percent("components", total).alias("percent"))
 
 
 def counts(graph: Graph, components: DataFrame, shown: int = 20) -> DataFrame:
     """One row: ``vertices``, ``edges``, ``components`` and how many components a list of ``shown`` leaves out."""
     found = components.agg(F.count("*").alias("vertices"), F.count_if(F.col("vertex") == F.col("component")).alias("components"))
-    return found.crossJoin(graph.edges.agg(F.count("*").alias("edges"))).select("vertices", "edges", "components", F.greatest(F.col("components") - shown, F.lit(0)).alias("remainder"))
+    edges = graph.edges.agg(F.count("*")).scalar().alias("edges")
+    return found.select("vertices", edges, "components", F.greatest(F.col("components") - shown, F.lit(0)).alias("remainder"))

@@ -47,9 +47,9 @@ def ratios(results: DataFrame) -> DataFrame:
 
 def normalised(rows: DataFrame, column: str, into: str) -> DataFrame:
     """``rows`` with ``column`` scaled to 0..1; 0 where all values are equal."""
-    span = rows.agg(F.min(column).alias("__low"), F.max(column).alias("__high"))
-    scaled: Column = guarded_ratio((F.col(column) - F.col("__low")).cast("double"), (F.col("__high") - F.col("__low")).cast("double"))
-    return rows.crossJoin(F.broadcast(span)).withColumn(into, scaled).drop("__low", "__high")
+    low, high = rows.agg(F.min(column)).scalar(), rows.agg(F.max(column)).scalar()
+    scaled: Column = guarded_ratio((F.col(column) - low).cast("double"), (high - low).cast("double"))
+    return rows.select("*", scaled.alias(into))
 
 
 def distance_table(results: DataFrame, implementations: list[str]) -> DataFrame:

@@ -45,7 +45,7 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 @query
 def graph_size(s, d):
     g = G.chain(s, d)
-    return g.size().crossJoin(g.vertices().agg(F.count("*").alias("num_seen")))
+    return g.size().select("*", g.vertices().agg(F.count("*")).scalar().alias("num_seen"))
 
 
 @query
