@@ -63,5 +63,6 @@ def guarded_ratio(above: Column | str, below: Column | str) -> Column:
 
 def implementation_label(file: Column | str) -> Column:
     """Which program wrote a log, by its file name."""
+    # Suffixes and labels.
     f = _col(file)
     return F.when(f.endswith("_gpu_stf.out"), "GPU_STF").when(f.endswith("_gpu.out"), "GPU").when(f.endswith("_cpu.out"), "CPU")

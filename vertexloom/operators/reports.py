@@ -1,6 +1,6 @@
 """Text reports with the wording that ``sources.runlogs`` reads again.
 
-Fixed values: the wording of the lines.  Reports are driver-side text over results of a few rows.
+Reports are driver-side text over results of a few rows.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ def _share(part: float, whole: float) -> float:
     return 100 * part / whole if whole > 0 else 0.0
 
 
+# The wording of the report lines.
 def performance(p: PerfRecord) -> str:
     return "\n".join(
         (

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from vertexloom.graph import Graph
 
-#: Nine-vertex sample graph: row offsets and column indices.
+# The nine-vertex sample graph, as row offsets and column indices.
 SAMPLE_OFFSETS = [0, 4, 11, 12, 14, 15, 16, 18, 19, 20]
 SAMPLE_NONZEROS = [1, 2, 3, 6, 0, 3, 4, 5, 6, 7, 8, 0, 0, 1, 1, 1, 0, 1, 1, 1]
 
@@ -37,6 +37,7 @@ def from_pairs(spark: SparkSession, pairs: list[tuple[int, int]]) -> Graph:
 
 def example_logs() -> list[tuple[str, str]]:
     """(file, text) of three synthetic run logs; the last lacks its average distance."""
+    # The wording of the lines.
 
     def log(ranks: list[tuple[int, int]], lines: list[str]) -> str:
         return "\n".join([f"Rank {r}: Loaded {v} vertices and {e} edges in local partition" for r, (v, e) in enumerate(ranks)] + lines)

@@ -1,7 +1,4 @@
-"""Run logs of graph benchmarks: text in, one typed row per run out, CSV in and out.
-
-Fixed values: the wording of the report lines and the file suffixes.
-"""
+"""Run logs of graph benchmarks: text in, one typed row per run out, CSV in and out."""
 
 from __future__ import annotations
 
@@ -10,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.functions import implementation_label
 
+# The wording of the report lines in the logs, and the column names of the results CSV.
 NUMBER = r"([0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)"
 LOADED = r"Rank ([0-9]+): Loaded ([0-9]+) vertices and ([0-9]+) edges"
 #: Report line, group that holds the value, column, type.
@@ -44,6 +42,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 def dataset_name(file: Column) -> Column:
     """The file name up to its implementation suffix, or all of it."""
+    # The file suffixes.
     name = F.regexp_extract(file, r"^(.+?)_(?:cpu|gpu|gpu_stf)\.out", 1)
     return F.coalesce(F.nullif(name, F.lit("")), file)
 
