@@ -1,5 +1,7 @@
+import duckdb
+
 from tests.llm.data import empty
-from vertexloom.llm import chat
+from vertexloom.llm import chat, oracles, queries
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 TURNS = [
@@ -59,6 +61,17 @@ def test_giant_dialogues_are_cut_but_whole(spark):
     assert sorted((r["part"], r["n_turns"]) for r in out if r["conv_id"] is None) == [(0, 10), (1, 2)]
 
 
+def test_query_against_oracle(spark, tmp_path):
+    path = str(tmp_path / "conversations.parquet")
+    spark.createDataFrame(TURNS, SCHEMA).write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{path}/*.parquet')")
+    df = queries.op10_chat(spark, str(tmp_path))
+    ran = con.execute(oracles.OP10)
+    assert [c[0] for c in ran.description] == df.columns
+    assert sorted(ran.fetchall(), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
 def test_empty_table_and_extra_columns(spark):
     assert chat.rotate(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, 0, "ann", "x", 5, "p")], SCHEMA + ", part int, perspective string")

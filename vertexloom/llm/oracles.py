@@ -58,4 +58,26 @@ r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score D
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLES = {"op4_decontamination": OP4, "op6_warc": OP6, "op8_top_k": OP8}
+OP10 = r"""
+WITH t AS (
+  SELECT conv_id, role, coalesce(text, '') AS body,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS k
+  FROM conversations
+),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role IS NOT NULL AND role <> 'system'),
+s AS (
+  SELECT p.conv_id, perspective, k, coalesce(role = perspective, FALSE) AS own, body,
+         '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user' || coalesce(' name=' || role, '') END || chr(10) AS head
+  FROM p JOIN t ON p.conv_id IS NOT DISTINCT FROM t.conv_id
+),
+o AS (
+  SELECT *, length(head) + coalesce(sum(length(head) + length(body) + 11) OVER (PARTITION BY conv_id, perspective ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM s
+)
+SELECT conv_id, perspective, 0 AS part, count(*)::INTEGER AS n_turns, count(*) FILTER (own)::INTEGER AS n_own,
+       string_agg(head || body || '<|im_end|>' || chr(10), '' ORDER BY k) AS text,
+       string_agg(start::BIGINT || '-' || (start + length(body) + 10)::BIGINT, ',' ORDER BY k) FILTER (own) AS mask
+FROM o GROUP BY conv_id, perspective
+"""
+
+ORACLES = {"op4_decontamination": OP4, "op6_warc": OP6, "op8_top_k": OP8, "op10_chat": OP10}
