@@ -38,6 +38,8 @@ from vertexloom.operators.components import star_roots
 SHINGLE, SEED = 3, 42
 MAX_BITS = 3
 LEAF, SAMPLE = 32768, 16384
+#: Ids of dropped documents up to which their list is broadcast (8 bytes each).
+BROADCAST_ROWS = 1_000_000
 #: Pairs compared at once, and pairs below which a search isn't pruned further.
 BLOCK, SMALL = (256, 2048), 1 << 21
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -203,6 +205,12 @@ def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Rows without an id can't be named and stay.
     """
-    kept = near_duplicates(docs, max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    found = near_duplicates(docs, max_bits).where("doc_id is not null")
+    ids = stage(found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("names"), F.count("*").alias("n")), "simhash-ids")
+    gone, repeats = ids.where("not names").select("doc_id"), not ids.where("n > 1").isEmpty()
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
+    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
+    if repeats:
+        named = named.dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id is null"))
