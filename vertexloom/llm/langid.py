@@ -33,9 +33,11 @@ from vertexloom.llm.pieces import MARK, MODEL, _appended, _with, common_prefix,
 
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 #: Probability mass of a character that no piece covers, and the pieces' additive smoothing.
 OUTSIDE, SMOOTHING = 1e-7, 0.01
+#: Forward scores are scaled up, for all languages alike, where the largest falls below this.
+RESCALE = 1e-120
 
 
 def words_of(text: str | None) -> list[str]:
@@ -88,11 +90,19 @@ class Scorer:
     """Log-probabilities of words by language; words that share a prefix share its forward scores."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.rows, self.scores = model, {}, []
+        self.model = model
+        self.forget()
         #: Every ending of a piece, so that a search ends where no piece can go on.
         self.endings: dict[str, tuple[float, ...]] = {p[i:]: () for p in model.probability for i in range(1, len(p))} | model.probability
 
+    def forget(self) -> None:
+        """Row of each known word, and the matrix of (words x languages) log-probabilities."""
+        self.rows: dict[str, int] = {}
+        self.scores = np.empty((0, len(self.model.languages)))
+
     def learn(self, words: list[str]) -> None:
+        """Score the sorted, distinct ``words`` that aren't known yet."""
+        new: list[list[float]] = []
         ending, n = self.endings.get, len(self.model.languages)
         outside = (OUTSIDE,) * n
         forward, log_scale, before = [(1.0,) * n], [0.0], ""
@@ -108,24 +118,31 @@ class Scorer:
                     elif p is None:
                         break
                     elif p:
-                        back = exp(log_scale[i] - last)
-                        total = [t + a * b * back for t, a, b in zip(total, forward[i], p)]  # noqa: B905
-                scale = max(total) or 1e-300
-                forward.append(tuple(max(t / scale, 1e-250) for t in total))
-                log_scale.append(log_scale[-1] + log(scale))
-            self.rows[word] = len(self.scores)
-            self.scores.append([log(f) + log_scale[-1] for f in forward[-1]] if any(map(str.isalpha, word)) else [0.0] * n)
+                        if log_scale[i] == last:
+                            total = [t + a * b for t, a, b in zip(total, forward[i], p)]  # noqa: B905
+                        else:
+                            back = exp(log_scale[i] - last)
+                            total = [t + a * b * back for t, a, b in zip(total, forward[i], p)]  # noqa: B905
+                if (most := max(total)) < RESCALE:
+                    scale = most or 1e-300
+                    total, last = [max(t / scale, 1e-300) for t in total], last + log(scale)
+                forward.append(total)
+                log_scale.append(last)
+            self.rows[word] = len(self.scores) + len(new)
+            new.append([log(f or 1e-300) + log_scale[-1] for f in forward[-1]] if any(map(str.isalpha, word)) else [0.0] * n)
             before = word
+        if new:
+            self.scores = np.concatenate((self.scores, np.array(new)))
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) log-probabilities, and whether a text has a letter."""
         if len(self.rows) > REMEMBERED:
-            self.rows, self.scores = {}, []
+            self.forget()
         split = [words_of(t) for t in texts]
         self.learn(sorted({w for words in split for w in words}.difference(self.rows)))
         sizes = np.array([len(words) for words in split], dtype=np.int64)
         at = np.fromiter((self.rows[w] for words in split for w in words), np.int64, int(sizes.sum()))
-        scores = np.array(self.scores, dtype=np.float64).reshape(-1, len(self.model.languages))[at]
+        scores = self.scores[at]
         sums = np.zeros((len(texts), len(self.model.languages)))
         if len(at):
             some = np.flatnonzero(sizes)
