@@ -3,6 +3,7 @@ import random
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from vertexloom.llm import oracles, queries, topk
@@ -58,6 +59,31 @@ def test_large_weights_need_64_bits(spark):
     assert got(spark, rows) == brute(rows)
 
 
+def test_scores_beyond_64_bits_raise_and_large_ones_are_exact(spark):
+    rows = [(0, [2.0**40, 2.0**40], 0), (1, [2.0**8, 2.0**7 + 1], 0), (2, [-(2.0**9), 1.0], 0)]
+    assert got(spark, rows) == brute(rows)
+    for bad in ([3e38, 3e38], [2.0**56, 2.0**56]):
+        with pytest.raises(Exception, match="64 bits"):
+            got(spark, [(0, bad, 0), (1, bad, 0)])
+
+
+def test_every_action_and_projection(spark):
+    rows = vectors(70, 6, 4)
+    df = spark.createDataFrame(rows, SCHEMA).select("vec_id", topk.quantised(F.col("embedding")).alias("terms"))
+    found, wanted = topk.exact_top_k(df, F.col("vec_id") % 20 == 0), brute(rows)
+    assert found.count() == len(wanted) and not found.isEmpty()
+    for i, name in enumerate(found.columns):
+        assert sorted(r[0] for r in found.select(name).collect()) == sorted(w[i] for w in wanted)
+    assert found.agg(F.max("score")).first()[0] == max(w[3] for w in wanted)
+
+
+def test_narrow_weights_and_clashing_columns(spark):
+    for scale in (1.0, 600.0, 1e6):
+        rows = [(i, [x * scale for x in v], 0) for i, v, _ in vectors(60, 5, 6)]
+        df = spark.createDataFrame(rows, SCHEMA).select("vec_id", topk.quantised(F.col("embedding")).alias("terms"), F.lit(1).alias("at"), F.lit("x").alias("c"), F.lit(0).alias("q"), F.lit(2).alias("score"))
+        assert sorted(map(tuple, topk.exact_top_k(df, F.col("vec_id") % 20 == 0, candidate_block=9).collect())) == brute(rows)
+
+
 def test_oracle(spark, tmp_path):
     path = str(tmp_path / "embeddings.parquet")
     spark.createDataFrame(vectors(90, 8, 3), SCHEMA).coalesce(1).write.parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.plans.staging import discard, shared_folder, stage
 
-__all__ = ["UPPER", "arrow_rows", "crc_mod", "discard", "id_text", "packed", "shared_folder", "stage", "table"]
+__all__ = ["UPPER", "again", "arrow_rows", "crc_mod", "discard", "free_names", "id_text", "packed", "shared_folder", "stage", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def again(staged: DataFrame) -> DataFrame:
+    """A staged table read anew, with attributes of its own."""
+    return staged.sparkSession.read.schema(staged.schema).parquet(staged.staged_path)
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
     """Rows in an Arrow batch at most, so that a Python worker holds a bounded part of its partition."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -35,3 +40,14 @@ def crc_mod(col: Column, n: int) -> Column:
 def packed(df: DataFrame, name: str = "row") -> DataFrame:
     """All columns in one struct, so that helper columns can't clash with theirs."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until no column of ``df`` has it, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
