@@ -1,5 +1,6 @@
 import gzip
 import random
+import time
 
 import duckdb
 import pytest
@@ -118,3 +119,74 @@ def test_query_against_oracle_and_empty_table(spark, tmp_path):
     con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
     assert sorted(con.execute(oracles.OP6).fetchall(), key=str) == sorted((tuple(r) for r in queries.op6_warc(spark, str(tmp_path)).collect()), key=str)
     assert warc.archived(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_headers_of_any_length(spark, tmp_path):
+    pages = [(i, "http://x/" + "u" * n, f"<p>{i}</p>") for i, n in enumerate((10, 1 << 20, 3 << 20, 20))]
+    spark.createDataFrame(pages, SCHEMA).write.parquet(str(tmp_path / "pages.parquet"))
+    assert {r["page_id"] for r in queries.op6_warc(spark, str(tmp_path)).collect()} == {0, 1, 2, 3}
+    read = {r["page_id"]: r["url"] for r in warc.archived(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert read == {i: u for i, u, _ in pages}
+
+
+def test_long_records_and_packs(spark):
+    rng = random.Random(5)
+    noise = "".join(chr(rng.randrange(0x100, 0x2000)) for _ in range(1 << 20))
+    pages = [(i, None, noise[i : i + 3000] * (1 if i else 3000)) for i in range(40)]
+    shared = warc.shared_folder(spark) + "/packs"
+    warc.write_archives(spark.createDataFrame(pages, SCHEMA).coalesce(1), shared, pack_bytes=9000, packs=3)
+    read = warc.read_archives(spark, shared)
+    assert read.select("file").distinct().count() > 3
+    assert sorted((r["page_id"], r["payload_digest"], r["gap"]) for r in read.collect()) == [(i, warc.digest(h.encode()), None) for i, _, h in pages]
+
+
+def test_a_long_members_last_byte_is_padding():
+    record = warc.build_record(1, None, b"0" * (17 << 20))
+    data = warc.member(record) + b"\0" + warc.member(warc.build_record(2, None, b"x"))
+    good, gaps = plain(warc.salvage(data))
+    assert [r.payload_bytes for r in good] == [17 << 20, 1] and not gaps
+
+
+def test_files_damaged_on_disk_are_salvaged(spark, tmp_path):
+    path = tmp_path / "archive"
+    path.mkdir()
+    parts = [warc.member(r) for r in records(30, 7)]
+    parts[3] = parts[3][:-20]
+    parts[9] = b"\x00\xff" * 40
+    (path / "a.warc.gz.bin").write_bytes(b"".join(parts[:15]))
+    (path / "b.warc.gz.bin").write_bytes(b"".join(parts[15:])[:-5])
+    read = warc.read_archives(spark, str(path)).collect()
+    assert {r["page_id"] for r in read if r["gap"] is None} >= set(range(30)) - {3, 9, 29}
+    assert len([r for r in read if r["gap"]]) >= 3
+
+
+def test_sound_records_of_a_damaged_member_are_recovered():
+    whole = warc.member(b"".join(records(60, 8)), level=1)
+    hurt = bytearray(whole)
+    hurt[len(whole) // 2] ^= 0x10
+    good, gaps = plain(warc.salvage(bytes(hurt) + warc.member(warc.build_record(99, None, b"z"))))
+    assert len(good) > 25 and gaps and all(r.length == 0 for r in good[:-1])
+    assert good[-1].fields["warc-record-id"] == "<urn:page:99>"
+    stored = warc.member(b"".join(records(10, 9)), level=0)
+    good, _ = plain(warc.salvage(stored[:-4]))
+    assert sorted(r.fields["warc-record-id"] for r in good) == sorted(f"<urn:page:{i}>" for i in range(10))
+
+
+def test_an_unsound_record_inside_a_sound_member():
+    raw = records(12, 10)
+    raw[4] = raw[4].replace(b"WARC-Type", b"WARC_Type")
+    good, gaps = plain(warc.salvage(warc.member(b"".join(raw))))
+    assert len(good) == 11 and len(gaps) == 1 and "of the member" in gaps[0].reason
+
+
+def test_salvage_takes_linear_time():
+    raw = records(4000, 11)
+    for data in (
+        b"".join(r.replace(b"Content-Length: ", b"Content-Length: 1", 2) for r in raw) * 8,
+        b"".join(warc.member(r)[:-9] for r in raw) * 4,
+        b"a:WARC/1.0\r\n" * 300000,
+        b"WARC/1.0\r\n" * 300000,
+    ):
+        began = time.perf_counter()
+        list(warc.salvage(data))
+        assert time.perf_counter() - began < 20

@@ -7,14 +7,22 @@ go through Spark's text writer, whose lines end in a zero byte: the last byte of
 byte of its length, so the files are plain concatenated members (after a record of 16 MB or more, one
 byte of zero padding follows, which gzip allows).  So any store that Spark can write will do.
 
-Reading.  Archives of gzip members, plain records, or both.  A record counts when its checks hold: gzip
-CRC, version line, header block, declared length, closing blank lines, payload digest.  After a failed
-check the reader goes on at the next byte where a member or a version line starts and whole checks hold
-again; the bytes between are logged as a quarantined gap with the reason of the first failure.
+Files are bounded by bytes: members are packed, and a file takes ``PACKS`` packs of about ``PACK_BYTES``, or one
+record if that is longer.
 
-A null html is an empty payload; a null page_id has no id in its record.  Rows that repeat the smallest
-page_id of their payload are all responses.  An empty table gives no archive and no record.  Other
-columns are not archived.
+Reading.  Archives of gzip members, plain records, or both.  A record counts when its checks hold: gzip
+CRC, version line, header block of any length, declared length, closing blank lines, payload digest.  After
+a failed check the reader goes on at the next byte where a member or a version line starts and whole
+checks hold again; the bytes between are logged as a quarantined gap with the reason of the first failure.
+Inside a member of several records it does the same.  Of a member that is itself damaged, the part that
+can still be inflated is searched too, and records proved by their payload digest are recovered (with
+length 0, as the member's bytes are the gap).  The next place of each signature is remembered, and so is how
+far a run of header lines is known to fail, so the search takes linear time in a damaged file.
+
+A null html is an empty payload; a null page_id has no id in its record; a null url has no line, and one with
+line breaks is written in one line.  Urls and payloads may be of any length up to a file's limit of 2 GB.  Rows that
+repeat the smallest page_id of their payload are all responses.  An empty table gives no archive and no
+record.  Other columns are not archived, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +43,9 @@ from vertexloom.llm.base import arrow_rows, shared_folder, stage
 VERSION, MEMBER, BLANK = b"WARC/1.", b"\x1f\x8b\x08", b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
 CHUNK = 1 << 16
+#: Bytes of a pack of members, and packs of a file; bytes of payload that the reader hands on at once.
+PACK_BYTES, PACKS = 1 << 22, 32
+HANDED_BYTES = 1 << 24
 
 
 def digest(payload: bytes) -> str:
@@ -90,38 +101,91 @@ class Gap:
 
 
 class Unsound(Exception):
-    """A check that failed."""
+    """A check that failed; of a damaged member, with the records that could be rescued."""
+
+    rescued: list[Record] = []
+    until = 0
+
 
+class Finder:
+    """Next places of byte strings; a place stays known until the search has passed it."""
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
+    def __init__(self, data: bytes) -> None:
+        self.data, self.known = data, {}
+        #: Header lines that begin before here, at a line's start, are known to lead to a fault.
+        self.doomed, self.why = 0, ""
+
+    def next(self, what: bytes, at: int) -> int:
+        """The first place at or after ``at``, or -1."""
+        since, place = self.known.get(what, (0, -2))
+        if place == -2 or -1 < place < at:
+            place = self.data.find(what, at)
+        elif at < since:
+            nearer = self.data.find(what, at, since + len(what) - 1)
+            if nearer >= 0:
+                return nearer
+        else:
+            return place
+        self.known[what] = (at, place)
+        return place
+
+
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """What the member at ``at`` holds, its end, and what is wrong with it, if anything."""
     coder, out, pos = zlib.decompressobj(31), [], at
     try:
         while not coder.eof:
             if pos >= len(data):
-                raise Unsound("gzip member is cut off")
+                return b"".join(out), pos, "gzip member is cut off"
             out.append(coder.decompress(data[pos : pos + CHUNK]))
             pos += CHUNK
     except zlib.error as e:
-        raise Unsound(f"gzip: {e}") from None
-    return b"".join(out), min(pos, len(data)) - len(coder.unused_data)
-
-
-def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int, int]:
+        # The faulty chunk once more in small steps, for what comes before the fault.
+        coder, again = zlib.decompressobj(31), []
+        try:
+            for step in range(at, pos, CHUNK):
+                coder.decompress(data[step : step + CHUNK])
+            for step in range(pos, pos + CHUNK, 64):
+                again.append(coder.decompress(data[step : min(step + 64, pos + CHUNK)]))
+        except zlib.error:
+            pass
+        return b"".join(out + again), pos, f"gzip: {e}"
+    return b"".join(out), min(pos, len(data)) - len(coder.unused_data), None
+
+
+def _header(find: Finder, at: int) -> tuple[dict[str, str], int]:
+    """Fields of the header block at ``at``, and where its block starts."""
+    data, fields = find.data, {}
+    stop = find.next(b"\r\n", at)
+    if 0 <= stop < find.doomed:
+        raise Unsound(find.why)
+    try:
+        while True:
+            if stop < 0:
+                raise Unsound("header block doesn't end")
+            line = stop + 2
+            stop = find.next(b"\r\n", line)
+            if stop == line:
+                return fields, line + 2
+            name, colon, value = data[line:stop].partition(b":") if stop >= 0 else (b"", b":", b"")
+            if not colon:
+                raise Unsound("header line without a colon")
+            fields[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+    except Unsound as e:
+        # Whatever starts before this line and has no fault of its own before it meets the same lines.
+        find.doomed, find.why = len(data) if stop < 0 else line, str(e)
+        raise
+
+
+def parse_record(data: bytes | Finder, at: int = 0) -> tuple[dict[str, str], bytes, int, int]:
     """Fields, payload, payload length and end of the record that starts at ``at``; raises Unsound."""
+    find = data if isinstance(data, Finder) else Finder(data)
+    data = find.data
     if not data.startswith(VERSION, at):
         raise Unsound("no version line")
-    stop = data.find(BLANK, at, at + (1 << 20))
-    if stop < 0:
-        raise Unsound("header block doesn't end")
-    fields = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
-        if not colon:
-            raise Unsound("header line without a colon")
-        fields[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+    fields, start = _header(find, at)
     if not fields.get("content-length", "").isdecimal() or not {"warc-type", "warc-record-id"} <= fields.keys():
         raise Unsound("a required header is missing")
-    start = stop + len(BLANK)
     end = start + int(fields["content-length"])
     if data[end : end + len(BLANK)] != BLANK:
         raise Unsound("record isn't closed at its declared length")
@@ -138,32 +202,55 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int,
     return fields, payload, size, end + len(BLANK)
 
 
-def _at(data: bytes, at: int) -> tuple[list[Record], int]:
-    if not data.startswith(MEMBER, at):
-        fields, payload, size, end = parse_record(data, at)
-        return [Record(at, end - at, fields, payload, size)], end
-    inner, end = _inflate(data, at)
-    found, pos = [], 0
-    while pos < len(inner):
-        fields, payload, size, pos = parse_record(inner, pos)
-        found.append(Record(at, end - at, fields, payload, size))
-    return found, end
-
-
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All sound records of an archive, and the gaps between them, in file order."""
+def _proved(record: Record) -> bool:
+    """Whether a digest vouches for the payload."""
+    return record.fields["warc-type"] != "revisit" and record.fields.get("warc-payload-digest", "").startswith("sha1:")
+
+
+def _member(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """What the gzip member at ``at`` holds, and its end; raises Unsound with ``rescued`` records if it is damaged."""
+    inner, end, wrong = _inflate(data, at)
+    found = list(salvage(inner, members=False))
+    if wrong is not None or not any(isinstance(x, Record) for x in found):
+        fault = Unsound(wrong or next((x.reason for x in found), "empty member"))
+        fault.rescued = [Record(at, 0, x.fields, x.payload, x.payload_bytes) for x in found if isinstance(x, Record) and _proved(x)]
+        fault.until = min(end + CHUNK, len(data))
+        raise fault
+    out: list[Record | Gap] = []
+    for x in found:
+        if isinstance(x, Gap):
+            out.append(Gap(at, end - at, f"{x.reason} (bytes {x.offset} to {x.offset + x.length} of the member)"))
+        else:
+            out.append(Record(at, end - at, x.fields, x.payload, x.payload_bytes))
+    return out, end
+
+
+def salvage(data: bytes, members: bool = True) -> Iterator[Record | Gap]:
+    """All sound records of an archive, and the gaps between them, in file order (a damaged member's records before its gap)."""
+    find = Finder(data)
+    signs = (MEMBER, VERSION) if members else (VERSION,)
     at, gap, reason = 0, None, ""
+    twice, until = set(), 0  # a damaged member's records may also stand in its bytes as they are
     while at < len(data):
         if gap is None and data[at] == 0:
             at += 1
             continue
         try:
-            found, end = _at(data, at)
+            if members and data.startswith(MEMBER, at):
+                found, end = _member(data, at)
+            else:
+                fields, payload, size, end = parse_record(find, at)
+                found = [Record(at, end - at, fields, payload, size)]
+                if at < until and (fields["warc-record-id"], payload) in twice:
+                    at = end
+                    continue
         except Unsound as e:
+            if e.rescued:
+                yield from e.rescued
+                twice, until = {(x.fields["warc-record-id"], x.payload) for x in e.rescued}, e.until
             if gap is None:
                 gap, reason = at, str(e)
-            starts = [x for x in (data.find(MEMBER, at + 1), data.find(VERSION, at + 1)) if x >= 0]
-            at = min(starts, default=len(data))
+            at = min((x for x in (find.next(sign, at + 1) for sign in signs) if x >= 0), default=len(data))
             continue
         if gap is not None:
             yield Gap(gap, at - gap, reason)
@@ -174,7 +261,7 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(gap, len(data) - gap, reason)
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = 2000) -> None:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, pack_bytes: int = PACK_BYTES, packs: int = PACKS) -> None:
     """Write ``pages`` (page_id, url, html) as archives below ``path``."""
     arrow_rows(pages.sparkSession, 500)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -184,12 +271,27 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
     marked = rows.join(stage(firsts, "warc-firsts"), "same", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Packs of members; the zero byte that ends a pack is the text writer's."""
+        held, size = [], 0
+
+        def pack() -> pa.RecordBatch:
+            whole = b"".join(held)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([whole[:-1] if whole[-1:] == b"\0" else whole], pa.binary())], names=["pack"])
+
         for batch in batches:
-            members = [member(build_record(i, u, h.encode(), r)) for i, u, h, r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([m[:-1] if m[-1:] == b"\0" else m for m in members], pa.binary())], names=["member"])
+            for i, u, h, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                new = member(build_record(i, u, h.encode(), r))
+                if held and size + len(new) > pack_bytes:
+                    yield pack()
+                    size = 0
+                held.append(new)
+                size += len(new)
+        if held:
+            yield pack()
 
-    members = marked.mapInArrow(build, "member binary").select(F.col("member").cast("string").alias("value"))
-    members.write.option("lineSep", "\0").option("maxRecordsPerFile", records_per_file).text(path)
+    written = marked.mapInArrow(build, "pack binary").select(F.col("pack").cast("string").alias("value"))
+    written.write.option("lineSep", "\0").option("maxRecordsPerFile", packs).text(path)
 
 
 ENTRIES = "file string, position long, length long, gap string, record_type string, page_id long, refers_to long, url string, payload_bytes long, payload_digest string, payload binary"
@@ -202,7 +304,7 @@ def _number(urn: str | None) -> int | None:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per sound record, and one per quarantined gap (``gap`` says why; it has no record fields)."""
-    arrow_rows(spark, 4)
+    arrow_rows(spark, 1)
     names = [x.split()[0] for x in ENTRIES.split(", ")]
     kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in ENTRIES.split(", ")]
 
@@ -212,16 +314,17 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows = []
+                rows, size = [], 0
                 for x in salvage(content.as_py()):
                     if isinstance(x, Gap):
                         rows.append((file, x.offset, x.length, x.reason, *[None] * 7))
                     else:
                         f = x.fields
+                        size += len(x.payload)
                         rows.append((file, x.offset, x.length, None, f["warc-type"], _number(f["warc-record-id"]), _number(f.get("warc-refers-to")), f.get("warc-target-uri"), x.payload_bytes, f.get("warc-payload-digest", "").removeprefix("sha1:") or None, x.payload))
-                    if len(rows) >= 200:
+                    if len(rows) >= 200 or size >= HANDED_BYTES:
                         yield batch_of(rows)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield batch_of(rows)
 
