@@ -1,3 +1,6 @@
+import random
+import time
+
 import duckdb
 
 from tests.llm.data import empty
@@ -61,6 +64,33 @@ def test_giant_dialogues_are_cut_but_whole(spark):
     assert sorted((r["part"], r["n_turns"]) for r in out if r["conv_id"] is None) == [(0, 10), (1, 2)]
 
 
+def test_giant_dialogues_are_whole(spark, tmp_path):
+    rng = random.Random(2)
+    turns = [(9, i // 2, rng.choice(["ann", "bob", "cy", "system", None]), f"t{i:03d} é\U0001f600") for i in range(203)] + [(8, 0, "ann", "x"), (8, 1, "bob", "y")]
+    turns += [(None, i, rng.choice(["dan", "eve"]), rng.choice([None, "z"])) for i in range(31)]
+    df = spark.createDataFrame(turns, SCHEMA).repartition(5)
+    got = [(r["conv_id"], r["perspective"], r["n_turns"], r["n_own"], r["text"], [tuple(m) for m in r["mask"]]) for r in chat.rotate(df, range_turns=10).collect()]
+    assert sorted(((c, p, n, t, m) for c, p, n, _, t, m in got), key=str) == expected(turns)
+    assert all(own == len(m) for *_, own, _, m in got)
+
+
+def test_a_dialogue_of_many_turns_and_speakers(spark):
+    turns = spark.range(100_000).selectExpr("1L as conv_id", "id as turn", "concat('s', id % 3) as role", "concat('text ', id) as text")
+    turns = turns.union(spark.range(3000).selectExpr("2L", "id", "concat('s', id)", "'x'"))
+    began = time.perf_counter()
+    sizes = [(r["conv_id"], r["n_turns"], r["chars"]) for r in chat.rotate(turns).selectExpr("conv_id", "n_turns", "length(text) as chars").collect()]
+    assert time.perf_counter() - began < 120
+    assert [n for c, n, _ in sizes if c == 1] == [100_000] * 3 and [n for c, n, _ in sizes if c == 2] == [3000] * 3000
+
+
+def test_query_cuts_nothing(spark, tmp_path):
+    path = str(tmp_path / "conversations.parquet")
+    spark.range(chat.RANGE_TURNS + 5).selectExpr("7L as conv_id", "id as turn", "if(id % 3 = 0, 'ann', 'bob') as role", "concat('t', id) as text").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from read_parquet('{path}/*.parquet')")
+    assert sorted(con.execute(oracles.OP10).fetchall()) == sorted(map(tuple, queries.op10_chat(spark, str(tmp_path)).collect()))
+
+
 def test_query_against_oracle(spark, tmp_path):
     path = str(tmp_path / "conversations.parquet")
     spark.createDataFrame(TURNS, SCHEMA).write.parquet(path)
