@@ -30,15 +30,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from vertexloom.llm.base import arrow_rows, stage
+from vertexloom.llm.base import arrow_rows, discard, free_names, stage
 from vertexloom.operators.components import star_roots
 
 SHINGLE, SEED = 3, 42
 MAX_BITS = 3
 LEAF, SAMPLE = 32768, 16384
-#: Ids of dropped documents up to which their list is broadcast (8 bytes each).
+#: Keys of dropped rows up to which their list is broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 #: Pairs compared at once, and pairs below which a search isn't pruned further.
 BLOCK, SMALL = (256, 2048), 1 << 21
@@ -71,13 +72,20 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``fp`` of every row of ``docs``."""
-    arrow_rows(docs.sparkSession, 1000)
+    return marked(docs.select(F.col("doc_id").cast("long"), "text"))
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """``rows`` with their ``fp`` in place of their ``text``, which is the last column."""
+    arrow_rows(rows.sparkSession, 1000)
+    kept = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())], names=["doc_id", "fp"])
+            found = pa.array([fingerprint(t.as_py()) for t in batch.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[f.name for f in kept] + ["fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 # Trees: a leaf is its number, an inner node (vantage point, radius, near child, far child).
@@ -187,30 +195,54 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF, seed:
     return distinct.mapInArrow(deal, "leaf int, fp long, home boolean").groupBy("leaf").applyInPandas(search, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
-    """``doc_id``, ``fp`` and ``component_id`` (the smallest reachable doc_id) of every row of ``docs``."""
-    marked = stage(fingerprints(docs), "simhash")
-    classes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
-    roots = star_roots(links(classes.select("fp"), max_bits, leaf))
+def classes_of(found: DataFrame, max_bits: int, leaf: int) -> DataFrame:
+    """Written table of ``fp``, ``root`` (a fingerprint that names its component) and ``component_id``, of the rows ``found``."""
+    classes = stage(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    roots = stage(star_roots(links(classes.select("fp"), max_bits, leaf)), "simhash-roots")
     nodes = roots.union(roots.select("root", "root").distinct())
     linked = nodes.join(classes, nodes["node"] == classes["fp"]).select("fp", "root", "first")
-    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "least")
-    final = classes.join(named, "fp", "left").select("fp", F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
-    # Written, so that the join stands on two plain exchanges and a hot fingerprint's partition can be split.
-    return marked.join(stage(final, "simhash-components"), "fp").select("doc_id", "fp", "component_id")
+    named = linked.join(linked.groupBy("root").agg(F.min("first").alias("least")), "root").select("fp", "root", "least")
+    final = classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("least").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    # Written, so that a join stands on two plain exchanges and a hot fingerprint's partition can be split.
+    written = stage(final, "simhash-components")
+    discard(classes)
+    discard(roots)
+    return written
+
+
+def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
+    """``doc_id``, ``fp`` and ``component_id`` (the smallest reachable doc_id) of every row of ``docs``."""
+    found = stage(fingerprints(docs), "simhash")
+    return found.join(classes_of(found, max_bits, leaf), "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``docs`` with one document of each component, the one that names it; repeats of its row go.
+def representatives(docs: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest doc_id (null last), then the smallest hash of the row.
 
-    Rows without an id can't be named and stay.
+    Rows are told apart by a 128-bit key over all their columns (those that Spark can hash), not by their id: rows that
+    share an id but not their text are judged each on its own.  Of rows equal throughout one stays.
     """
-    found = near_duplicates(docs, max_bits).where("doc_id is not null")
-    ids = stage(found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("names"), F.count("*").alias("n")), "simhash-ids")
-    gone, repeats = ids.where("not names").select("doc_id"), not ids.where("n > 1").isEmpty()
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(docs.columns)
-    if repeats:
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    k1, k2 = F.xxhash64(*hashable), F.xxhash64(F.lit("second"), *hashable)
+    found = stage(marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), "text")), "simhash")
+    rooted = stage(found.join(classes_of(found, max_bits, leaf), "fp").select("root", F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2"), "simhash-rows")
+    # One row of each component: the least; its key may stand for several equal rows.
+    best = rooted.groupBy("root").agg(F.min(F.struct("unnamed", "doc_id", "k1", "k2")).alias("b"), F.count("*").alias("n"))
+    best = stage(best.where("n > 1").select("root", "b.k1", "b.k2"), "simhash-best")
+    judged = rooted.join(best.withColumnsRenamed({"k1": "b1", "k2": "b2"}), "root")
+    gone = judged.where("k1 <> b1 or k2 <> b2").select("k1", "k2").distinct()
+    repeats = judged.where("k1 = b1 and k2 = b2").groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
+    gone, repeats = stage(gone, "simhash-gone"), stage(repeats, "simhash-repeats")
+
+    key = free_names(docs, "key1", "key2")
+
+    def listed(keys: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("k1").alias(key[0]), F.col("k2").alias(key[1]))
+        return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+    keyed = docs.withColumns({key[0]: k1, key[1]: k2}).join(listed(gone), key, "left_anti")
+    if not repeats.isEmpty():
+        several = listed(repeats)
+        once = keyed.join(several, key, "left_semi").dropDuplicates(key)
+        keyed = keyed.join(several, key, "left_anti").unionByName(once)
+    return keyed.select(*[F.col(f"`{c}`") for c in docs.columns])
