@@ -10,7 +10,7 @@ and text falls under the share that gives ``rows_per_language`` rows, copies onc
 the ``words_per_language`` most frequent.  Scoring covers every row and every word of it.
 
 Null texts and texts without a letter get ``und`` and score 0; with no labelled row at all, every text
-does.  Rows that repeat are scored alike; extra columns are kept, but ``lang_pred`` and ``score`` are replaced.
+does.  Rows that repeat are scored alike; extra columns are kept, but ``lang_pred`` and ``score`` (or the names chosen for them) are replaced.
 """
 
 from __future__ import annotations
@@ -179,9 +179,9 @@ def fit(docs: DataFrame, label: str = "lang", usable: Column | None = None, rows
     return estimate(words, path) if words else None
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the posterior of that language under equal priors."""
-    schema = _appended(docs, {"lang_pred": T.StringType(), "score": T.DoubleType()})
+def predict(docs: DataFrame, model: Model | None, text: str = "text", into: str = "lang_pred", score_into: str = "score") -> DataFrame:
+    """``docs`` with ``into`` and ``score_into``, the posterior of that language under equal priors; columns of these names are replaced."""
+    schema = _appended(docs, {into: T.StringType(), score_into: T.DoubleType()})
     arrow_rows(docs.sparkSession, 1000)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -197,6 +197,6 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
                 best = sums.argmax(axis=1)
                 score = np.where(letters, 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1), 0.0)
                 named = [model.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
-            yield _with(batch, schema, {"lang_pred": pa.array(named, pa.string()), "score": pa.array(score, pa.float64())})
+            yield _with(batch, schema, {into: pa.array(named, pa.string()), score_into: pa.array(score, pa.float64())})
 
     return docs.mapInArrow(run, schema)

@@ -34,8 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Word characters that some piece joins to a sign count as signs.
 JOINED = re.compile(r"([^\W_])[\W_]|[\W_]([^\W_])")
-#: Words whose pieces a worker remembers; then it starts anew.
-REMEMBERED = 200_000
+#: Words whose pieces a worker remembers, and their characters in all; then it starts anew.
+REMEMBERED, REMEMBERED_CHARACTERS = 200_000, 20_000_000
 
 
 class Vocabulary:
@@ -109,9 +109,9 @@ def encode_words(words: list[str], vocab: Vocabulary) -> Iterator[tuple[str, lis
         ids, j = [], len(word)
         while j:
             piece = table.get(word[back[j] : j])
-            ids[:0] = [piece[0]] if piece else [vocab.byte_ids[b] for b in word[back[j] : j].encode()]
+            ids += [piece[0]] if piece else [vocab.byte_ids[b] for b in reversed(word[back[j] : j].encode())]
             j = back[j]
-        yield word, ids
+        yield word, ids[::-1]
         before = word
 
 
@@ -119,14 +119,16 @@ class Encoder:
     """Encodes batches of texts and remembers the pieces of words it has seen."""
 
     def __init__(self, path: str = MODEL) -> None:
-        self.vocab, self.known = vocabulary(path), {}
+        self.vocab, self.known, self.size = vocabulary(path), {}, 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Each text's piece ids as the bytes of 32-bit integers."""
         cut = list(map(self.vocab.cut, texts))
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.size > REMEMBERED_CHARACTERS:
             self.known.clear()
+            self.size = 0
         new = sorted({w for words in cut for w in words}.difference(self.known))
+        self.size += sum(map(len, new))
         for word, ids in encode_words(new, self.vocab):
             self.known[word] = np.array(ids, dtype=np.int32).tobytes()
         return [b"".join(map(self.known.__getitem__, words)) for words in cut]
