@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.plans.staging import discard, shared_folder, stage
 
-__all__ = ["UPPER", "again", "arrow_rows", "crc_mod", "discard", "free_names", "id_text", "packed", "shared_folder", "stage", "table"]
+__all__ = ["UPPER", "again", "crc_mod", "discard", "free_names", "id_text", "packed", "shared_folder", "slices", "stage", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -22,9 +25,12 @@ def again(staged: DataFrame) -> DataFrame:
     return staged.sparkSession.read.schema(staged.schema).parquet(staged.staged_path)
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows in an Arrow batch at most, so that a Python worker holds a bounded part of its partition."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a Python worker unpacks ``rows`` rows and about ``size`` bytes at once at most; empty ones go."""
+    for batch in batches:
+        step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def id_text(col: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from vertexloom.llm.base import arrow_rows, id_text
+from vertexloom.llm.base import id_text, slices
 from vertexloom.llm.pieces import MARK, MODEL, _appended, _with, common_prefix, vocabulary
 
 UNKNOWN = "und"
@@ -152,17 +152,15 @@ class Scorer:
 
 def fit(docs: DataFrame, label: str = "lang", usable: Column | None = None, rows_per_language: int = 1000, words_per_language: int = 5000, path: str = MODEL) -> Model | None:
     """The model of the labelled rows of ``docs`` (doc_id, text and ``label``) where ``usable`` holds."""
-    spark = docs.sparkSession
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
     rows = rows.where(usable) if usable is not None else rows
     share = rows.groupBy(label).agg(F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
     key = F.xxhash64(id_text(F.col("doc_id")), "text")
     drawn = rows.select(label, "text", key.alias("key")).join(F.broadcast(share), label)
     sample = drawn.where(F.pmod("key", F.lit(1 << 31)) < F.col("share") * (1 << 31)).dropDuplicates([label, "key"])
-    arrow_rows(spark, 500)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 500):
             by: dict[str, Counter] = {}
             for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by.setdefault(language, Counter()).update(w for w in words_of(text))
@@ -182,13 +180,12 @@ def fit(docs: DataFrame, label: str = "lang", usable: Column | None = None, rows
 def predict(docs: DataFrame, model: Model | None, text: str = "text", into: str = "lang_pred", score_into: str = "score") -> DataFrame:
     """``docs`` with ``into`` and ``score_into``, the posterior of that language under equal priors; columns of these names are replaced."""
     schema = _appended(docs, {into: T.StringType(), score_into: T.DoubleType()})
-    arrow_rows(docs.sparkSession, 1000)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         scorer = Scorer(model) if model else None
-        for batch in batches:
+        for batch in slices(batches, 1000):
             texts = batch.column(text).to_pylist()
             if scorer is None:
                 named, score = [UNKNOWN] * len(texts), np.zeros(len(texts))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vertexloom.llm.base import arrow_rows
+from vertexloom.llm.base import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -155,11 +155,10 @@ def encode(df: DataFrame, text: str = "text", into: str = "pieces", path: str =
     ``check`` names a boolean column that says whether the ids decode to the text again (null: true).
     """
     schema = _appended(df, {into: T.ArrayType(T.IntegerType())} | ({check: T.BooleanType()} if check else {}))
-    arrow_rows(df.sparkSession, 500)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in batches:
+        for batch in slices(batches, 500):
             texts = batch.column(text).to_pylist()
             coded = encoder(texts)
             ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype(np.int32)
@@ -177,11 +176,10 @@ def encode(df: DataFrame, text: str = "text", into: str = "pieces", path: str =
 def decode_column(df: DataFrame, pieces: str = "pieces", into: str = "decoded", path: str = MODEL) -> DataFrame:
     """``df`` with ``into``, the text of the ids in ``pieces``; a column of that name is replaced."""
     schema = _appended(df, {into: T.StringType()})
-    arrow_rows(df.sparkSession, 1000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches, 1000):
             column = batch.column(pieces)
             ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
             out = [decode(values[a:b].tolist(), vocab) if ok else None for a, b, ok in zip(ends, ends[1:], column.is_valid().to_pylist())]  # noqa: B905

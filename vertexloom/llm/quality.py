@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vertexloom.llm.base import arrow_rows, id_text, stage
+from vertexloom.llm.base import id_text, slices, stage
 from vertexloom.llm.pieces import _appended, _with
 
 TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
@@ -136,7 +136,7 @@ def _context_sums(sample: DataFrame, words: list[str]) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(words) + 1, DIMENSIONS), dtype=np.float32)
-        for batch in batches:
+        for batch in slices(batches, 250):
             at, sizes = pooler.rows(batch.column("text").to_pylist())
             owner = np.repeat(np.arange(len(sizes)), sizes)
             for offset in range(1, REACH + 1):
@@ -155,11 +155,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
     spark = docs.sparkSession
     marked = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     chosen = marked.join(docs.where("text is not null").select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64(id_text(F.col("doc_id"))), "doc_id").limit(sample_rows)
-    arrow_rows(spark, 250)
     sample = stage(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").dropDuplicates(["doc_id"]), "quality-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 250):
             words = Counter(w for t in batch.column("text").to_pylist() for w in tokens_of(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
@@ -171,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pooled = Pooler(*pooler.value)
-        for batch in batches:
+        for batch in slices(batches, 250):
             x = pooled(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "label", "x"])
 
@@ -194,13 +193,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with ``into``: the probability that a text's label is 1."""
     schema = _appended(docs, {into: T.DoubleType()})
-    arrow_rows(docs.sparkSession, 1000)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         pooler = Pooler(model.words, model.vectors)
-        for batch in batches:
+        for batch in slices(batches, 1000):
             yield _with(batch, schema, {into: pa.array(model.probability(pooler(batch.column(text).to_pylist())), pa.float64())})
 
     return docs.mapInArrow(run, schema)

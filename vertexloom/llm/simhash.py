@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from vertexloom.llm.base import arrow_rows, discard, free_names, stage
+from vertexloom.llm.base import discard, free_names, slices, stage
 from vertexloom.operators.components import star_roots
 
 SHINGLE, SEED = 3, 42
@@ -77,11 +77,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def marked(rows: DataFrame) -> DataFrame:
     """``rows`` with their ``fp`` in place of their ``text``, which is the last column."""
-    arrow_rows(rows.sparkSession, 1000)
     kept = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1000):
             found = pa.array([fingerprint(t.as_py()) for t in batch.column("text")], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], names=[f.name for f in kept] + ["fp"])
 
@@ -191,7 +190,6 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF, seed:
         linked = top != everyone
         return pd.DataFrame({"u": points[linked].view(np.int64), "v": points[top[linked]].view(np.int64)})
 
-    arrow_rows(distinct.sparkSession, 10000)
     return distinct.mapInArrow(deal, "leaf int, fp long, home boolean").groupBy("leaf").applyInPandas(search, "u long, v long")
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm.base import arrow_rows, shared_folder, stage
+from vertexloom.llm.base import shared_folder, slices, stage
 
 VERSION, MEMBER, BLANK = b"WARC/1.", b"\x1f\x8b\x08", b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -263,7 +263,6 @@ def salvage(data: bytes, members: bool = True) -> Iterator[Record | Gap]:
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, pack_bytes: int = PACK_BYTES, packs: int = PACKS) -> None:
     """Write ``pages`` (page_id, url, html) as archives below ``path``."""
-    arrow_rows(pages.sparkSession, 500)
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("same", F.when(F.octet_length("html") >= min_bytes, F.sha1(F.col("html").cast("binary"))))
     firsts = rows.where("same is not null").groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("same", "first")
@@ -279,7 +278,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, pack_bytes:
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([whole[:-1] if whole[-1:] == b"\0" else whole], pa.binary())], names=["pack"])
 
-        for batch in batches:
+        for batch in slices(batches, 500):
             for i, u, h, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 new = member(build_record(i, u, h.encode(), r))
                 if held and size + len(new) > pack_bytes:
@@ -304,7 +303,6 @@ def _number(urn: str | None) -> int | None:
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per sound record, and one per quarantined gap (``gap`` says why; it has no record fields)."""
-    arrow_rows(spark, 1)
     names = [x.split()[0] for x in ENTRIES.split(", ")]
     kinds = [{"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in ENTRIES.split(", ")]
 
@@ -312,7 +310,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
                 for x in salvage(content.as_py()):
