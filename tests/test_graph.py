@@ -64,9 +64,10 @@ def test_null_ends_are_no_edges(spark):
 
 
 def test_ids_are_validated(spark):
-    df = spark.createDataFrame([(1, 2**32)], "src long, dst long")
-    with pytest.raises(ValueError):
-        Graph.from_edges(df, validate=True)
+    assert Graph.from_edges(spark.createDataFrame([(1, 2**32)], "src long, dst long"), validate=True).num_vertices == 2**32 + 1
+    for bad in (-1, 2**63 - 1):
+        with pytest.raises(ValueError):
+            Graph.from_edges(spark.createDataFrame([(1, bad)], "src long, dst long"), validate=True)
 
 
 def test_ids_beyond_31_bits_survive(spark):

@@ -45,7 +45,13 @@ def test_suite_runs_every_file(spark, tmp_path):
 
     for name, pairs in (("one.edges", M2), ("two.edges", [(i, i + 1) for i in range(12)])):
         (tmp_path / name).write_text("".join(f"{a} {b}\n" for a, b in pairs))
-    found = {r["dataset"]: r for r in run_suite(spark, [str(tmp_path / n) for n in ("one.edges", "two.edges")], source=1).collect()}
+    rows = run_suite(spark, [str(tmp_path / n) for n in ("one.edges", "two.edges")], source=1).collect()
+    assert sorted((r["dataset"], r["implementation"]) for r in rows) == [(n, i) for n in ("one.edges", "two.edges") for i in ("ROUNDS", "TASK")]
+    assert all(0 <= r["communication_time"] <= r["traversal_time"] for r in rows) and any(r["communication_time"] > 0 for r in rows)
+    by = [{r["dataset"]: r for r in rows if r["implementation"] == i} for i in ("TASK", "ROUNDS")]
+    for name in ("one.edges", "two.edges"):
+        assert len({tuple(b[name][c] for c in ("visited_vertices", "max_distance", "bfs_levels", "total_edges", "avg_distance")) for b in by}) == 1
+    found = by[0]
     assert (found["one.edges"]["visited_vertices"], found["one.edges"]["max_distance"]) == (4, 4)
     assert (found["two.edges"]["visited_vertices"], found["two.edges"]["bfs_levels"], found["two.edges"]["edges_total"]) == (12, 12, 12)
 
@@ -58,8 +64,41 @@ def test_parquet_graph(spark, tmp_path):
 
 def test_large_ids(spark, tmp_path):
     f = tmp_path / "l.edges"
-    f.write_text("4294967295 0\n4294967296 1\n-1 2\n")
-    assert values(edges.read_edge_list(spark, str(f)).edges, "src", "dst") == [(4294967295, 0)]
+    f.write_text("4294967295 0\n4294967296 1\n9223372036854775806 2\n")
+    assert values(edges.read_edge_list(spark, str(f)).edges, "src", "dst") == [(4294967295, 0), (4294967296, 1), (2**63 - 2, 2)]
+    for bad in ("-1 2\n", "1 9223372036854775807\n"):
+        f.write_text("1 2\n" + bad)
+        with pytest.raises(Exception, match="vertex id out of range"):
+            edges.read_edge_list(spark, str(f)).edges.collect()
+
+
+def test_size_line_after_any_number_of_comments_and_dropped_once(spark, tmp_path):
+    f = tmp_path / "c.mtx"
+    f.write_text("%%MatrixMarket matrix coordinate integer general\n" + "% c\n" * 5000 + "3 3 2\n1 2 7\n3 3 2\n")
+    graph, header = edges.read_matrix_market(spark, str(f))
+    assert (header.rows, header.columns, header.entries) == (3, 3, 2)
+    assert values(graph.edges, "src", "dst") == [(1, 2), (3, 3)]
+
+
+def test_skipped_lines_are_listed(spark, tmp_path):
+    f = tmp_path / "b.edges"
+    f.write_text("1 2\nx y\n# c\n3\n4 5\n")
+    assert values(edges.bad_lines(spark, str(f)), "line") == [("3",), ("x y",)]
+
+
+def test_token_stream_reads_pairs_over_line_ends(spark, tmp_path):
+    f = tmp_path / "t.edges"
+    f.write_text("1 2 3\n4\n\n5 6 7 8 9\n")
+    assert values(edges.read_token_stream(spark, str(f)).edges, "src", "dst") == [(1, 2), (3, 4), (5, 6), (7, 8)]
+
+
+def test_graph_files_round_trip(spark, tmp_path):
+    graph = graphs.power_law(spark, 6, 300)
+    edges.write_edge_list(graph, str(tmp_path / "g.edges"))
+    edges.write_matrix_market(graph, str(tmp_path / "g.mtx"))
+    wanted = values(graph.edges, "src", "dst")
+    assert values(edges.read_graph(spark, str(tmp_path / "g.edges")).edges, "src", "dst") == wanted
+    assert values(edges.read_graph(spark, str(tmp_path / "g.mtx"), strict=True).edges, "src", "dst") == wanted
 
 
 def test_logs_round_trip_through_csv(spark, tmp_path):

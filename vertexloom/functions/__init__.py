@@ -63,6 +63,7 @@ def guarded_ratio(above: Column | str, below: Column | str) -> Column:
 
 def implementation_label(file: Column | str) -> Column:
     """Which program wrote a log, by its file name."""
-    # Suffixes and labels.
+    # Suffixes and labels; the last two are those of this engine's own suite.
     f = _col(file)
-    return F.when(f.endswith("_gpu_stf.out"), "GPU_STF").when(f.endswith("_gpu.out"), "GPU").when(f.endswith("_cpu.out"), "CPU")
+    own = F.when(f.endswith("_task.out"), "TASK").when(f.endswith("_rounds.out"), "ROUNDS")
+    return F.when(f.endswith("_gpu_stf.out"), "GPU_STF").when(f.endswith("_gpu.out"), "GPU").when(f.endswith("_cpu.out"), "CPU").otherwise(own)

@@ -11,7 +11,8 @@ from pyspark.sql.window import Window
 from vertexloom.functions import OWNERS, owner
 from vertexloom.plans.staging import stage
 
-MAX_ID = 2**32 - 1
+#: Ids are 0 or more, and their number fits 64 bits too.
+MAX_ID = 2**63 - 2
 #: Vertices up to which results may have a row for every id, seen or not.
 DENSE_LIMIT = 1 << 36
 

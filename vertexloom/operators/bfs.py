@@ -1,12 +1,11 @@
-"""Breadth-first search: semi-naive frontier expansion, one written level per round.
+"""Breadth-first search: semi-naive frontier expansion, one written level and one job per round.
 
 Graphs that are counted as small run in one task instead (``operators.small``).
 
-A small frontier is broadcast, so the edges are scanned where they lie.  Visited vertices are removed
-by a broadcast while they are few.  Later, if the candidates are few, the visited ones among them are found
-by a semi-join against the candidates, so neither large table is shuffled.  Otherwise both are
-joined by a shuffle on the vertex, with duplicates removed before it.  Counts decide, every round;
-a level's count is observed while it is written.
+The edges are written once, bucketed by source.  A small frontier is broadcast, so the edges are scanned where they
+lie; a large one is shuffled to the buckets, and the edges stay.  Targets are made distinct by a shuffle on the
+vertex, with duplicates removed before it.  Vertices of earlier levels are removed by a broadcast while they are few, later by a join on
+that same partitioning.  Counts decide, every round; a level's count is observed while it is written.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 from vertexloom.functions import percent, shown_distance
 from vertexloom.graph import Graph
 from vertexloom.operators.small import bfs_kernel, in_one_task, is_small
-from vertexloom.plans.staging import Levels
+from vertexloom.plans.staging import Levels, bucketed, discard, stage
 
 log = logging.getLogger(__name__)
 
@@ -70,14 +69,10 @@ def expand(frontier: DataFrame, edges: DataFrame, small: bool) -> DataFrame:
     return edges.join(side.select(F.col("vertex").alias("src")), "src").select(F.col("dst").alias("vertex")).distinct()
 
 
-def unseen(candidates: DataFrame, visited: DataFrame, few_visited: bool = False, few_candidates: bool = False) -> DataFrame:
-    """Candidates that no earlier level has; the flags say what may be broadcast."""
+def unseen(candidates: DataFrame, visited: DataFrame, few_visited: bool = False) -> DataFrame:
+    """Candidates that no earlier level has; the flag says that the visited ones may be broadcast."""
     seen = visited.select("vertex")
-    if few_visited:
-        seen = F.broadcast(seen)
-    elif few_candidates:
-        seen = F.broadcast(seen.join(F.broadcast(candidates), "vertex", "left_semi"))
-    return candidates.join(seen, "vertex", "left_anti")
+    return candidates.join(F.broadcast(seen) if few_visited else seen, "vertex", "left_anti")
 
 
 def bfs(graph: Graph, source: int | str | None = None, max_hops: int | None = None, seed: int | None = None, broadcast_rows: int = BROADCAST_ROWS, small_edges: int | None = None) -> Search:
@@ -87,33 +82,40 @@ def bfs(graph: Graph, source: int | str | None = None, max_hops: int | None = No
     """
     spark = graph.spark
     if is_small(graph, small_edges):
-        start = choose_source(graph.num_vertices, source, seed)
-        return Search(graph, start, in_one_task(graph.edges, bfs_kernel(start, max_hops), "vertex long, hop int"))
-    graph = graph.staged()
-    start = choose_source(graph.num_vertices, source, seed)
+        start = _source(graph.num_vertices, source, seed)
+        done = stage(in_one_task(graph.edges, bfs_kernel(start, max_hops), "kind int, vertex long, hop int, seconds double"), "bfs")
+        seconds = [r["seconds"] for r in done.where("kind = 1").orderBy("vertex").collect()]
+        search = Search(graph, start, done.where("kind = 0").select("vertex", "hop"), level_seconds=seconds)
+        for level, n in enumerate(search.level_sizes):
+            log.info("level %d: %d vertices", level, n)
+        return search
+    start = _source(graph.num_vertices, source, seed)
+    edges = bucketed(graph.edges, "bfs_edges", "src")
     levels = Levels(spark, "bfs", "vertex long, hop int")
     frontier = levels.append(spark.createDataFrame([(start, 0)], "vertex long, hop int").coalesce(1))
     sizes, seconds = [1], []
     while sizes[-1] and (max_hops is None or len(sizes) <= max_hops):
         began = time.perf_counter()
         spark.sparkContext.setJobDescription(f"bfs: level {len(sizes)}")
-        few_visited = sum(sizes) <= broadcast_rows
-        found = expand(frontier.select("vertex"), graph.edges, sizes[-1] <= broadcast_rows)
-        few_candidates = False
-        if not few_visited and sizes[-1] <= broadcast_rows:
-            found = found.persist()  # read three times; made anew where lost
-            few_candidates = found.count() <= broadcast_rows
+        found = expand(frontier.select("vertex"), edges, sizes[-1] <= broadcast_rows)
         seen = Observation()
-        fresh = unseen(found, levels.all(), few_visited, few_candidates).select("vertex", F.lit(len(sizes)).alias("hop"))
+        fresh = unseen(found, levels.all(), sum(sizes) <= broadcast_rows).select("vertex", F.lit(len(sizes)).alias("hop"))
         frontier = levels.append(fresh.observe(seen, F.count("*").alias("n")))
-        found.unpersist()
         sizes.append(seen.get["n"])
         seconds.append(time.perf_counter() - began)
         log.info("level %d: %d vertices", len(sizes) - 1, sizes[-1])
     spark.sparkContext.setJobDescription(None)
+    discard(edges)
     return Search(graph, start, levels.all(), sizes if sizes[-1] else sizes[:-1], seconds)
 
 
+def _source(num_vertices: int, wanted: int | str | None, seed: int | None) -> int:
+    start = choose_source(num_vertices, wanted, seed)
+    if wanted is not None and str(start) != str(wanted).strip():
+        log.warning("source %s isn't one of %d vertices: %d instead", wanted, num_vertices, start)
+    return start
+
+
 def distances(search: Search, include_unreached: bool = False) -> DataFrame:
     """``vertex``, ``hop``, ``ref_distance``; unreached ids have -1."""
     hops = search.hops

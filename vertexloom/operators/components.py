@@ -7,7 +7,7 @@ are never gathered in one task; the join on a hub is split by adaptive execution
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from vertexloom.functions import BUCKETS, percent, size_bucket
@@ -25,6 +25,11 @@ def _least(pairs: DataFrame) -> DataFrame:
     return stage(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "star-minima")
 
 
+def _state() -> tuple[Column, Column]:
+    """What tells two edge tables apart: the count and a sum of hashes."""
+    return F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
+
+
 def large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour is linked to the least of the neighbourhood.  A written table."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -34,45 +39,47 @@ def large_star(edges: DataFrame) -> DataFrame:
     return linked
 
 
-def small_star(edges: DataFrame) -> DataFrame:
-    """Every smaller neighbour, and the vertex itself, is linked to the least of them.  A written table."""
-    least = _least(edges)
+def small_star(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Every smaller neighbour, and the vertex itself, is linked to the least of them.  A written table, and its state, seen on the way."""
+    least, seen = _least(edges), Observation()
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    linked = stage(moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "small-stars")
+    linked = moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    written = stage(linked.observe(seen, *_state()), "small-stars")
     discard(least)
-    return linked
+    return written, (seen.get["n"], seen.get["h"])
 
 
 def star_roots(pairs: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     """``node`` and ``root`` (least of its component) of each node of ``pairs`` (u, v) that isn't a root.
 
-    Up to ``small_edges`` distinct pairs, counted, are joined in one task.
+    As soon as the distinct pairs left, counted, are ``small_edges`` or fewer, they are joined in one task.
     """
-    edges = stage(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-    before = None
+    seen = Observation()
+    distinct = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = stage(distinct.observe(seen, *_state()), "stars")
+    before, state = None, (seen.get["n"], seen.get["h"])
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before is None and state[0] <= small_edges:
-            found = in_one_task(edges.select(F.col("u").alias("src"), F.col("v").alias("dst")), components_kernel, "vertex long, component long")
-            return found.where("vertex <> component").select(F.col("vertex").alias("node"), F.col("component").alias("root"))
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        if state[0] <= small_edges:
+            found = in_one_task(edges.select(F.col("u").alias("src"), F.col("v").alias("dst")), components_kernel, "vertex long, component long")
+            return found.where("vertex <> component").select(F.col("vertex").alias("node"), F.col("component").alias("root"))
         before, large = state, large_star(edges)
         discard(edges)
-        edges = small_star(large)
+        edges, state = small_star(large)
         discard(large)
 
 
 def connected_components(graph: Graph, small_edges: int | None = None) -> DataFrame:
-    """``vertex`` and ``component`` (its least id) of every id that occurs in an edge, edges undirected.
+    """``vertex`` and ``component`` (its least id) of every id that occurs in an edge, edges undirected.  A written table.
 
     A graph of ``small_edges`` edges or fewer is labelled in one task (0: never).
     """
     if is_small(graph, small_edges):
-        return in_one_task(graph.edges, components_kernel, "vertex long, component long")
+        return stage(in_one_task(graph.edges, components_kernel, "vertex long, component long"), "components")
     roots = star_roots(graph.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), small_edges=0)
     labelled = graph.vertices().join(roots.withColumnRenamed("node", "vertex"), "vertex", "left")
-    return labelled.select("vertex", F.coalesce("root", "vertex").alias("component"))
+    return stage(labelled.select("vertex", F.coalesce("root", "vertex").alias("component")), "components")
 
 
 def component_sizes(components: DataFrame) -> DataFrame:

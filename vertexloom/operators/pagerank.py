@@ -1,8 +1,11 @@
-"""PageRank in push form, one aggregation per iteration.
+"""PageRank, one aggregation per iteration.
 
-The out-degree is joined to the edges once.  Contributions are summed by target with a partial sum
-before the shuffle.  Each iteration is one job: the new ranks are written, and the difference to
-the old ones is observed on the way.
+The out-degree is joined to the edges once, and the edges are written bucketed by the vertex that gives, so they
+never move again: an iteration shuffles ranks, and contributions that are summed by target before the
+shuffle.  Each iteration is one job: the new ranks are written, and the difference to the old ones is observed on the way.
+
+In push form a vertex gives its rank to the targets of its edges.  In pull form it takes from them: each target gives
+its rank divided by its own out-degree, and one without out-edges gives nothing.  On symmetric graphs both are the same.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
 from vertexloom.operators.small import in_one_task, is_small, pagerank_kernel
-from vertexloom.plans.staging import discard, stage
+from vertexloom.plans.staging import bucketed, discard, stage
 
 log = logging.getLogger(__name__)
 
@@ -39,10 +42,11 @@ class Ranking:
         return len(self.differences)
 
 
-def weighted_edges(graph: Graph) -> DataFrame:
-    """Written edges with the out-degree of their source."""
+def giving_edges(graph: Graph, form: str = "push") -> DataFrame:
+    """``src`` (who gives), ``dst`` (who gets) and the ``out_degree`` of who gives."""
     degrees = graph.out_degrees(all_ids=False).withColumnRenamed("vertex", "src").withColumnRenamed("degree", "out_degree")
-    return stage(graph.edges.join(degrees, "src"), "weighted-edges")
+    edges = {"push": graph, "pull": graph.reversed()}[form].edges
+    return edges.join(degrees, "src")
 
 
 def step(edges: DataFrame, ranks: DataFrame, n: int, damping: float) -> DataFrame:
@@ -53,20 +57,22 @@ def step(edges: DataFrame, ranks: DataFrame, n: int, damping: float) -> DataFram
     return ranks.select("vertex", F.col("rank").alias("prev")).join(got, "vertex", "left").select("vertex", new.alias("rank"), "prev")
 
 
-def pagerank(graph: Graph, damping: float = 0.85, tol: float | None = 1e-5, max_iter: int = 100, norm: str = "l1", small_edges: int | None = None) -> Ranking:
+def pagerank(graph: Graph, damping: float = 0.85, tol: float | None = 1e-5, max_iter: int = 100, norm: str = "l1", small_edges: int | None = None, form: str = "push") -> Ranking:
     """Ranks of every id from 0 to N-1; dangling vertices give nothing on.
 
     Stops when the difference of two iterations is ``tol`` or less, or after ``max_iter``; without
     ``tol`` after exactly ``max_iter``.  A graph of ``small_edges`` edges or fewer is ranked in one task (0: never).
     """
     if is_small(graph, small_edges):
-        kernel = pagerank_kernel(graph.num_vertices, damping, tol, max_iter, norm)
+        kernel = pagerank_kernel(graph.num_vertices, damping, tol, max_iter, norm, form)
         done = stage(in_one_task(graph.edges, kernel, "kind int, id long, value double"), "ranks")
         found = [r["value"] for r in sorted(done.where("kind = 1").collect(), key=lambda r: r["id"])]
+        for i, difference in enumerate(found, 1):
+            log.info("iteration %d: %.9g", i, difference)
         ranks = done.where("kind = 0").select(F.col("id").alias("vertex"), F.col("value").alias("rank"))
         return Ranking(ranks, found, bool(found) and tol is not None and found[-1] <= tol)
     n = graph.num_vertices
-    edges = weighted_edges(graph)
+    edges = bucketed(giving_edges(graph, form), "giving_edges", "src")
     ranks = graph.ids().select("vertex", F.lit(1.0 / max(n, 1)).alias("rank"))
     differences: list[float] = []
     old = None
@@ -83,6 +89,8 @@ def pagerank(graph: Graph, damping: float = 0.85, tol: float | None = 1e-5, max_
         if tol is not None and differences[-1] <= tol:
             break
     graph.spark.sparkContext.setJobDescription(None)
+    if old is not None:
+        discard(edges)
     return Ranking(ranks, differences, bool(differences) and tol is not None and differences[-1] <= tol)
 
 

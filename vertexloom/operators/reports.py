@@ -17,7 +17,7 @@ from vertexloom.operators.pagerank import Ranking, top_k
 
 @dataclass
 class PerfRecord:
-    """Seconds of one run; a level's time counts as computation, as no exchange is timed apart."""
+    """Seconds of one run; ``communication`` is the part of the traversal that went into exchanges."""
 
     total: float
     loading: float

@@ -53,10 +53,13 @@ def normalised(rows: DataFrame, column: str, into: str) -> DataFrame:
 
 
 def distance_table(results: DataFrame, implementations: list[str]) -> DataFrame:
-    """Mean distance by dataset (rows) and implementation (columns); the maximum where no mean is known, else 0."""
+    """Mean distance by dataset (rows) and implementation (columns); the maximum where no mean is known, else 0.
+
+    Of several runs in one cell the largest value counts.
+    """
     value = F.coalesce(F.col("avg_distance"), F.col("max_distance").cast("double"), F.lit(0.0))
     rows = results.select(F.lower(F.trim("dataset")).alias("dataset"), F.upper(F.trim("implementation")).alias("i"), value.alias("v"))
-    pivoted = rows.groupBy("dataset").pivot("i", implementations).agg(F.first("v"))
+    pivoted = rows.groupBy("dataset").pivot("i", implementations).agg(F.max("v"))
     return pivoted.select("dataset", *[F.coalesce(F.col(f"`{i}`"), F.lit(0.0)).alias(i.lower()) for i in implementations])
 
 
@@ -66,3 +69,8 @@ def speedup(results: DataFrame, base: str = "CPU") -> DataFrame:
     ref = own.where(F.col("implementation") == base).select("dataset", F.col("traversal_time").alias("base_time"))
     joined = own.join(ref, "dataset")
     return joined.select("dataset", "implementation", guarded_ratio("base_time", "traversal_time").alias("speedup"), guarded_ratio(F.col("total_edges").cast("double"), F.col("traversal_time")).alias("edges_per_second"))
+
+
+def efficiency(speedups: DataFrame, workers: int) -> DataFrame:
+    """``speedups`` with their ``efficiency``: the speed-up of each of ``workers``."""
+    return speedups.withColumn("efficiency", F.col("speedup") / F.lit(float(workers)))

@@ -7,6 +7,7 @@ the distributed rounds of the operators take over.  Both give the same results (
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ def in_one_task(edges: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
 
 
 def bfs_kernel(source: int, max_hops: int | None) -> Kernel:
-    """Hops from ``source`` by expanding whole frontiers over sorted adjacency."""
+    """Hops (kind 0, by vertex) from ``source`` by expanding whole frontiers over sorted adjacency; seconds (kind 1, by level)."""
 
     def kernel(src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
         ids, ends = np.unique(np.concatenate((src, dst, [source])), return_inverse=True)
@@ -54,25 +55,36 @@ def bfs_kernel(source: int, max_hops: int | None) -> Kernel:
         hop = np.full(len(ids), -1, dtype=np.int32)
         frontier, level = ends[-1:], 0
         hop[frontier] = 0
+        seconds = []
         while len(frontier) and (max_hops is None or level < max_hops):
-            level += 1
+            level, began = level + 1, time.perf_counter()
             first, sizes = starts[frontier], starts[frontier + 1] - starts[frontier]
             at = np.repeat(first - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
             found = np.unique(targets[at])
             frontier = found[hop[found] < 0]
             hop[frontier] = level
-        reached = hop >= 0
-        return {"vertex": ids[reached], "hop": hop[reached]}
+            seconds.append(time.perf_counter() - began)
+        reached, k = hop >= 0, len(seconds)
+        return {
+            "kind": np.repeat(np.array([0, 1], dtype=np.int32), (int(reached.sum()), k)),
+            "vertex": np.concatenate((ids[reached], np.arange(1, k + 1))),
+            "hop": np.concatenate((hop[reached], np.zeros(k, dtype=np.int32))),
+            "seconds": np.concatenate((np.zeros(int(reached.sum())), np.array(seconds, dtype=np.float64))),
+        }
 
     return kernel
 
 
-def pagerank_kernel(n: int, damping: float, tol: float | None, max_iter: int, norm: str) -> Kernel:
+def pagerank_kernel(n: int, damping: float, tol: float | None, max_iter: int, norm: str, form: str = "push") -> Kernel:
     """Ranks (kind 0, by vertex) and differences (kind 1, by iteration)."""
     measure = {"l1": lambda d: np.abs(d).sum(), "linf": lambda d: np.abs(d).max(), "signed_max": lambda d: d.max()}[norm]
 
     def kernel(src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
-        ranks, degree = np.full(n, 1.0 / max(n, 1)), np.bincount(src, minlength=n)[src]
+        every = np.bincount(src, minlength=n)
+        if form == "pull":
+            giving = every[dst] > 0
+            src, dst = dst[giving], src[giving]
+        ranks, degree = np.full(n, 1.0 / max(n, 1)), every[src]
         differences: list[float] = []
         while n and len(differences) < max_iter:
             new = np.bincount(dst, weights=damping * ranks[src] / degree, minlength=n) + (1 - damping) / n

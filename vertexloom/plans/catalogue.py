@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,12 @@ from vertexloom.operators import components as C
 from vertexloom.operators import degree as D
 from vertexloom.operators import exchange as X
 from vertexloom.operators import pagerank as P
+from vertexloom.operators import reports as T
 from vertexloom.operators import results as R
 from vertexloom.operators import stencil
 from vertexloom.plans import graphs as G
 from vertexloom.plans.oracles import oracles
+from vertexloom.plans.staging import shared_folder
 from vertexloom.sources import edges as E
 from vertexloom.sources import runlogs as L
 
@@ -50,12 +53,12 @@ def graph_size(s, d):
 
 @query
 def out_degree_all(s, d):
-    return G.chain(s, d, 5).out_degrees()
+    return G.chain(s, d).out_degrees()
 
 
 @query
 def in_degree_all(s, d):
-    return G.chain(s, d, 5).in_degrees()
+    return G.chain(s, d).in_degrees()
 
 
 @query
@@ -70,7 +73,7 @@ def adjacency_list(s, d):
 
 @query
 def undirected_edges(s, d):
-    return G.chain(s, d, 10).adjacency_sets()
+    return G.chain(s, d).adjacency_sets()
 
 
 @query
@@ -124,7 +127,7 @@ def send_buffer(s, d):
 
 @query
 def local_remote_split(s, d):
-    return X.split_local_remote(G.chain(s, d, 10).vertices(), rank=1)
+    return X.split_local_remote(G.chain(s, d).vertices(), rank=1)
 
 
 @query
@@ -156,7 +159,7 @@ def sine_wave(s, d):
 
 @query
 def degrees(s, d):
-    return D.degrees(G.chain(s, d, 5))
+    return D.degrees(G.chain(s, d))
 
 
 @query
@@ -166,7 +169,7 @@ def top_degrees(s, d):
 
 @query
 def bottom_degrees(s, d):
-    return D.bottom_degrees(G.chain(s, d, 5))
+    return D.bottom_degrees(G.chain(s, d))
 
 
 @query
@@ -199,7 +202,7 @@ def bfs_ref_distance(s, d):
 
 @query
 def bfs_unreached(s, d):
-    return B.distances(B.bfs(G.chain(s, d, 5), SOURCE), include_unreached=True)
+    return B.distances(B.bfs(G.timeline(s, d), SOURCE), include_unreached=True)
 
 
 @query
@@ -209,7 +212,7 @@ def bfs_levels(s, d):
 
 @query
 def bfs_ref_levels(s, d):
-    shown = B.distances(B.bfs(G.chain(s, d, 5), SOURCE))
+    shown = B.distances(B.bfs(G.timeline(s, d), SOURCE))
     return _rounded(B.level_histogram(shown, "ref_distance"), 6, "percent")
 
 
@@ -220,12 +223,12 @@ def bfs_summary(s, d):
 
 @query
 def bfs_deep(s, d):
-    return B.distances(B.bfs(G.chain(s, d, 5), SOURCE)).select("vertex", "hop")
+    return B.distances(B.bfs(G.timeline(s, d), SOURCE)).select("vertex", "hop")
 
 
 @query
 def bfs_fallback_source(s, d):
-    return B.summary(B.bfs(G.chain(s, d, 5), 10**12)).select("source", "visited")
+    return B.summary(B.bfs(G.chain(s, d), 10**12)).select("source", "visited")
 
 
 @query
@@ -233,12 +236,12 @@ def bfs_frontier_step(s, d):
     g = G.chain(s, d)
     first = s.createDataFrame([(SOURCE,)], "vertex long")
     second = B.unseen(B.expand(first, g.edges, small=True), first, few_visited=True)
-    return B.unseen(B.expand(second, g.edges, small=True), first.union(second), few_candidates=True)
+    return B.unseen(B.expand(second, g.edges, small=False), first.union(second))
 
 
 @query
 def bfs_undirected(s, d):
-    return B.distances(B.bfs(G.chain(s, d, 10).undirected(), SOURCE)).select("vertex", "hop")
+    return B.distances(B.bfs(G.timeline(s, d).undirected(), SOURCE)).select("vertex", "hop")
 
 
 @query
@@ -258,7 +261,22 @@ def bfs_levels_distributed(s, d):
 
 @query
 def bfs_deep_distributed(s, d):
-    return B.distances(B.bfs(G.chain(s, d, 5), SOURCE, small_edges=0)).select("vertex", "hop")
+    return B.distances(B.bfs(G.timeline(s, d), SOURCE, small_edges=0)).select("vertex", "hop")
+
+
+@query
+def bfs_hops_distributed(s, d):
+    return B.distances(B.bfs(G.chain(s, d), SOURCE, small_edges=0)).select("vertex", "hop")
+
+
+@query
+def bfs_unreached_distributed(s, d):
+    return B.distances(B.bfs(G.timeline(s, d), SOURCE, small_edges=0), include_unreached=True)
+
+
+@query
+def bfs_summary_distributed(s, d):
+    return _rounded(B.summary(B.bfs(G.chain(s, d), SOURCE, small_edges=0, broadcast_rows=0)), 6, "visited_percent", "avg_distance")
 
 
 @query
@@ -269,8 +287,8 @@ def bfs_sample_graph(s, d):
 # PageRank
 
 
-def _ranks(s, d, n):
-    return P.pagerank(G.chain(s, d, 10), tol=None, max_iter=n)
+def _ranks(s, d, n, **kw):
+    return P.pagerank(G.chain(s, d), tol=None, max_iter=n, **kw)
 
 
 @query
@@ -285,7 +303,22 @@ def pagerank_20(s, d):
 
 @query
 def pagerank_10_distributed(s, d):
-    return _rounded(P.pagerank(G.chain(s, d, 10), tol=None, max_iter=10, small_edges=0).ranks, 12, "rank")
+    return _rounded(P.pagerank(G.chain(s, d), tol=None, max_iter=10, small_edges=0).ranks, 12, "rank")
+
+
+@query
+def pagerank_pull(s, d):
+    return _rounded(_ranks(s, d, 10, form="pull").ranks, 12, "rank")
+
+
+@query
+def pagerank_pull_distributed(s, d):
+    return _rounded(_ranks(s, d, 10, form="pull", small_edges=0).ranks, 12, "rank")
+
+
+@query
+def pagerank_converged_distributed(s, d):
+    return _rounded(P.pagerank(G.chain(s, d), small_edges=0).ranks, 12, "rank")
 
 
 @query
@@ -295,7 +328,7 @@ def pagerank_top10(s, d):
 
 @query
 def pagerank_l1_history(s, d):
-    g = G.chain(s, d, 10)
+    g = G.chain(s, d)
     return _rounded(P.history(g, P.pagerank(g, tol=None, max_iter=10).differences), 12, "l1_diff")
 
 
@@ -306,7 +339,7 @@ def pagerank_mass(s, d):
 
 @query
 def pagerank_converged(s, d):
-    return _rounded(P.pagerank(G.chain(s, d, 10)).ranks, 12, "rank")
+    return _rounded(P.pagerank(G.chain(s, d)).ranks, 12, "rank")
 
 
 @query
@@ -319,27 +352,32 @@ def pagerank_sample_linf(s, d):
 
 @query
 def components(s, d):
-    return C.connected_components(G.chain(s, d, 10))
+    return C.connected_components(G.chain(s, d))
 
 
 @query
 def components_distributed(s, d):
-    return C.connected_components(G.chain(s, d, 10), small_edges=0)
+    return C.connected_components(G.chain(s, d), small_edges=0)
+
+
+@query
+def component_sizes_distributed(s, d):
+    return _rounded(C.largest_components(C.connected_components(G.timeline(s, d), small_edges=0)), 6, "percent")
 
 
 @query
 def component_sizes_top20(s, d):
-    return _rounded(C.largest_components(C.connected_components(G.chain(s, d, 20))), 6, "percent")
+    return _rounded(C.largest_components(C.connected_components(G.timeline(s, d))), 6, "percent")
 
 
 @query
 def component_buckets(s, d):
-    return _rounded(C.size_buckets(C.connected_components(G.chain(s, d, 20))), 6, "percent")
+    return _rounded(C.size_buckets(C.connected_components(G.timeline(s, d))), 6, "percent")
 
 
 @query
 def component_counts(s, d):
-    g = G.chain(s, d, 20)
+    g = G.timeline(s, d)
     return C.counts(g, C.connected_components(g))
 
 
@@ -418,9 +456,140 @@ def shown_distances(s, d):
     return s.range(-1, 50).select(F.col("id").alias("hop"), shown_distance("id").alias("ref_distance"))
 
 
+@query
+def result_series_vertices(s, d):
+    return R.scaling_series(L.run_records(_logs(s)), "total_vertices", "traversal_time")
+
+
+@query
+def result_series_level_edges(s, d):
+    return R.scaling_series(L.run_records(_logs(s)), "total_edges", "avg_time_per_level")
+
+
+@query
+def result_series_level_vertices(s, d):
+    return R.scaling_series(L.run_records(_logs(s)), "total_vertices", "avg_time_per_level")
+
+
+@query
+def result_efficiency(s, d):
+    return _rounded(R.efficiency(R.speedup(L.run_records(_logs(s))), workers=4), 6, "speedup", "efficiency").select("dataset", "implementation", "speedup", "efficiency")
+
+
+# Files: written to the shared folder and read back
+
+
+def _folder(s, name):
+    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def read_edge_list(s, d):
+    path = _folder(s, "edge-list")
+    E.write_edge_list(G.chain(s, d), path)
+    return E.read_edge_list(s, path, strict=True).edges
+
+
+@query
+def read_token_stream(s, d):
+    path = _folder(s, "tokens")
+    G.chain(s, d).edges.select(F.concat("src", F.lit("\n"), "dst").alias("value")).write.text(path)
+    return E.read_token_stream(s, path).edges
+
+
+@query
+def read_matrix_market(s, d):
+    path = _folder(s, "matrix")
+    E.write_matrix_market(G.chain(s, d), path)
+    return E.read_matrix_market(s, path, strict=True)[0].edges
+
+
+@query
+def read_matrix_header(s, d):
+    path = _folder(s, "matrix")
+    E.write_matrix_market(G.chain(s, d), path)
+    header = E.read_header(s, path)
+    return s.createDataFrame([(header.rows, header.columns, header.entries)], "rows long, columns long, entries long")
+
+
+@query
+def read_bad_lines(s, d):
+    path = _folder(s, "edge-list")
+    marked = F.when(F.col("dst") % 50 == 0, F.concat(F.lit("x "), F.col("src").cast("string"))).otherwise(F.concat_ws(" ", "src", "dst"))
+    G.chain(s, d).edges.select(marked.alias("value")).write.text(path)
+    return E.bad_lines(s, path).groupBy("line").agg(F.count("*").alias("times"))
+
+
+@query
+def read_logs(s, d):
+    path = _folder(s, "logs")
+    L.write_logs(s, path, G.example_logs())
+    return L.read_logs(s, path)
+
+
+@query
+def read_results(s, d):
+    path = _folder(s, "results")
+    L.write_results(L.run_records(_logs(s)).drop("file", "slots_total", "edges_total"), path)
+    return L.read_results(s, path)
+
+
+# Reports, line by line
+
+
+def _text(s, text):
+    return s.createDataFrame(list(enumerate(text.split("\n"))), "line_number int, line string")
+
+
+@query
+def report_statistics(s, d):
+    return _text(s, T.statistics(B.bfs(G.chain(s, d), SOURCE)))
+
+
+@query
+def report_levels(s, d):
+    return _text(s, T.levels(B.bfs(G.chain(s, d), SOURCE)))
+
+
+@query
+def report_performance(s, d):
+    return _text(s, T.performance(T.PerfRecord(total=2.5, loading=2.0, traversal=0.5, levels=4, communication=0.125)))
+
+
+@query
+def report_partitions(s, d):
+    return _text(s, T.partitions(G.chain(s, d).partition_stats()))
+
+
+@query
+def report_pagerank(s, d):
+    return _text(s, T.pagerank(_ranks(s, d, 10), 0.0))
+
+
+@query
+def report_degrees(s, d):
+    return _text(s, T.degrees(G.chain(s, d)))
+
+
+@query
+def report_components(s, d):
+    g = G.timeline(s, d)
+    return _text(s, T.components(g, C.connected_components(g)))
+
+
+@query
+def report_neighbors(s, d):
+    return _text(s, T.neighbor_list(G.chain(s, d), SOURCE))
+
+
 # Stencil
 
 
+@query
+def row_blocks(s, d):
+    return stencil.row_blocks(s, 103, 8)
+
+
 @query
 def relaxation(s, d):
     return _rounded(stencil.relax(stencil.boundary_grid(s, 16, 12), 16, 12, steps=3).cells, 9, "value")

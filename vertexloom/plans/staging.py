@@ -37,9 +37,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Write ``df`` bucketed by ``column``, with a bucket for each shuffle partition, and read it again.
+
+    A join or an aggregation on that column then moves the other side alone, however often it is done.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(count, column)
+    dealt.write.option("compression", "zstd").option("path", path).bucketBy(count, column).sortBy(column).saveAsTable(table)
+    written = spark.table(table)
+    written.staged_path, written.staged_table = path, table
+    return written
+
+
 def discard(staged: DataFrame) -> None:
     """Delete the files of a staged table that nothing will read again; other frames are left alone."""
     path = getattr(staged, "staged_path", None)
+    if getattr(staged, "staged_table", None) is not None:
+        staged.sparkSession.sql(f"DROP TABLE IF EXISTS {staged.staged_table}")
     if path is not None:
         jvm, jsc = staged.sparkSession._jvm, staged.sparkSession.sparkContext._jsc
         target = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,20 +1,21 @@
-"""Edge lists and MatrixMarket files as graphs.
+"""Edge lists and MatrixMarket files as graphs, and back.
 
-Lines are split by Spark, in parallel and without a Python function.  Ids are unsigned 32-bit integers.
-A line that isn't two such integers is skipped, or raises with ``strict``.
+Lines are split by Spark, in parallel and without a Python function.  Ids are integers from 0 to 2^63 - 2; an integer
+outside of that raises.  A line that doesn't begin with two integers is skipped, or raises with ``strict``;
+``bad_lines`` lists what was skipped.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from vertexloom.graph import MAX_ID, Graph
 
-#: Lines looked at for a header: comments and one size line.
-HEAD_LINES = 200
+WHOLE = "^[+-]?[0-9]+$"
 
 
 @dataclass
@@ -26,48 +27,79 @@ class GraphHeader:
     entries: int
 
 
-def _tokens(lines: DataFrame) -> DataFrame:
-    """Non-comment, non-blank lines as ``parts``."""
-    trimmed = lines.select(F.trim(F.regexp_replace("value", r"\s+", " ")).alias("line"))
-    return trimmed.where("line <> '' and not line like '\\%%' and not line like '#%'").select("line", F.split("line", " ").alias("parts"))
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Non-comment, non-blank lines as ``line`` and ``parts``, with their ``file``, ``block`` and place ``at`` in it."""
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    trimmed = read.withColumn("line", F.trim(F.regexp_replace("value", r"\s+", " "))).drop("value")
+    return trimmed.where("line <> '' and not line like '\\%%' and not line like '#%'").withColumn("parts", F.split("line", " "))
 
 
-def _edges(parts: DataFrame, strict: bool) -> DataFrame:
+def _is_edge() -> Column:
+    word = lambda i: F.coalesce(F.try_element_at("parts", F.lit(i)).rlike(WHOLE), F.lit(False))
+    return word(1) & word(2)
+
+
+def _edges(lines: DataFrame, strict: bool) -> DataFrame:
     end = lambda i: F.try_element_at("parts", F.lit(i)).try_cast("long")
-    read = parts.select("line", end(1).alias("src"), end(2).alias("dst"))
+    wrong = lambda why: F.raise_error(F.concat(F.lit(why), F.substring("line", 1, 80))).cast("long")
+    rows = lines if strict else lines.where(_is_edge())
+    read = rows.select("line", end(1).alias("src"), end(2).alias("dst"), _is_edge().alias("whole"))
     sound = F.coalesce(F.col("src").between(0, MAX_ID) & F.col("dst").between(0, MAX_ID), F.lit(False))
-    if strict:
-        bad = F.raise_error(F.concat(F.lit("not an edge: "), F.substring("line", 1, 80)))
-        return read.select(F.when(sound, F.col("src")).otherwise(bad.cast("long")).alias("src"), "dst")
-    return read.where(sound).select("src", "dst")
+    checked = F.when(sound, F.col("src")).when(F.col("whole"), wrong("vertex id out of range: ")).otherwise(wrong("not an edge: "))
+    return read.select(checked.alias("src"), "dst")
 
 
 def read_edge_list(spark: SparkSession, path: str, strict: bool = False) -> Graph:
     """Whitespace-separated pairs; lines that begin with ``%`` or ``#`` are comments, further columns are ignored."""
-    return Graph(_edges(_tokens(spark.read.text(path)), strict))
+    return Graph(_edges(_lines(spark, path), strict))
+
+
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``line`` of what a reader that isn't strict skips."""
+    return _lines(spark, path).where(~_is_edge()).select("file", "line")
+
+
+def read_token_stream(spark: SparkSession, path: str) -> Graph:
+    """Pairs of integers as one stream per file, whatever the line ends: a pair may begin on one line and end on the next.
+
+    A last token without a partner is no edge.  Tokens are numbered by the counts of the blocks before theirs.
+    """
+    tokens = _lines(spark, path).select("file", "block", F.col("at"), F.posexplode("parts").alias("i", "token"))
+    lines = _lines(spark, path).select("file", "block", "at", F.size("parts").alias("n"))
+    blocks = lines.groupBy("file", "block").agg(F.sum("n").alias("n"))
+    upto = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.select("file", "block", upto(Window.partitionBy("file").orderBy("block")).alias("start"))
+    inside = lines.select("file", "block", "at", upto(Window.partitionBy("file", "block").orderBy("at")).alias("before"))
+    placed = tokens.join(inside, ["file", "block", "at"]).join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("before") + F.col("i")).alias("place"), "token")
+    pairs = placed.groupBy("file", F.floor(F.col("place") / 2).alias("pair")).agg(F.max(F.when(F.col("place") % 2 == 0, F.col("token"))).alias("a"), F.max(F.when(F.col("place") % 2 == 1, F.col("token"))).alias("b"))
+    whole = pairs.where("a is not null and b is not null").select(F.concat_ws(" ", "a", "b").alias("line"), F.array("a", "b").alias("parts"))
+    return Graph(_edges(whole, strict=True))
+
+
+def _first_lines(lines: DataFrame) -> DataFrame:
+    """The first line of each file that is no comment, after any number of comments."""
+    return lines.groupBy("file").agg(F.min(F.struct("block", "at", "line", "parts")).alias("f")).select("file", "f.*")
+
+
+def _is_size() -> Column:
+    return (F.size("parts") == 3) & F.forall("parts", lambda w: w.rlike("^[0-9]+$"))
 
 
 def read_header(spark: SparkSession, path: str) -> GraphHeader | None:
     """The size line: the first line that is no comment, if it holds three integers."""
-    for row in spark.read.text(path).limit(HEAD_LINES).collect():
-        words = row["value"].split()
-        if words and not words[0].startswith("%"):
-            return GraphHeader(*map(int, words)) if len(words) == 3 and all(w.isdecimal() for w in words) else None
-    return None
+    found = _first_lines(_lines(spark, path)).where(_is_size()).orderBy("file").first()
+    return GraphHeader(*map(int, found["parts"])) if found else None
 
 
 def read_matrix_market(spark: SparkSession, path: str, strict: bool = False) -> tuple[Graph, GraphHeader | None]:
     """Entries as edges, ids as they stand (1-based files leave vertex 0 alone); the size line is no edge.
 
-    The size line is known by its three integers, which no pattern entry has; entries with a
-    value keep their first two columns.
+    The size line is the first line that is no comment, if it holds three integers; an entry with the same three
+    numbers further on is an edge.  Entries with a value keep their first two columns.
     """
-    header = read_header(spark, path)
-    parts = _tokens(spark.read.text(path))
-    if header is not None:
-        is_size = (F.size("parts") == 3) & (F.array_join("parts", " ") == f"{header.rows} {header.columns} {header.entries}")
-        parts = parts.where(~is_size)
-    return Graph(_edges(parts, strict)), header
+    lines = _lines(spark, path)
+    sizes = _first_lines(lines).where(_is_size()).select("file", "block", "at")
+    return Graph(_edges(lines.join(sizes, ["file", "block", "at"], "left_anti"), strict)), read_header(spark, path)
 
 
 def is_matrix_market(spark: SparkSession, path: str) -> bool:
@@ -78,6 +110,19 @@ def is_matrix_market(spark: SparkSession, path: str) -> bool:
     return bool(first) and first[0]["value"].startswith("%%MatrixMarket")
 
 
+def write_edge_list(graph: Graph, path: str) -> None:
+    """One ``src dst`` line per edge, in as many files as there are partitions."""
+    graph.edges.select(F.concat_ws(" ", "src", "dst").alias("value")).write.text(path)
+
+
+def write_matrix_market(graph: Graph, path: str) -> None:
+    """Banner, size line, and one ``src dst`` line per edge, in one file, as the format has it."""
+    size = graph.size().first()
+    n = size["num_vertices"]
+    head = graph.spark.createDataFrame([("%%MatrixMarket matrix coordinate pattern general",), (f"{n} {n} {size['num_edges']}",)], "value string").coalesce(1)
+    head.union(graph.edges.select(F.concat_ws(" ", "src", "dst").alias("value"))).coalesce(1).write.text(path)
+
+
 def read_graph(spark: SparkSession, path: str, strict: bool = False) -> Graph:
     """``.parquet`` by its src and dst columns, MatrixMarket by name or banner, all else as an edge list."""
     if path.rstrip("/").endswith(".parquet"):

@@ -34,6 +34,18 @@ RESULTS_SCHEMA = ", ".join(
 )
 
 
+def write_logs(spark: SparkSession, folder: str, logs: list[tuple[str, str]]) -> None:
+    """Write each (file, text) below ``folder``, wherever Spark can write."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for file, text in logs:
+        target = jvm.org.apache.hadoop.fs.Path(folder, file)
+        out = target.getFileSystem(conf).create(target, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """``file`` (base name) and ``text`` of each ``.out`` file below a folder."""
     whole = spark.read.text(path, wholetext=True, pathGlobFilter="*.out")
@@ -42,8 +54,8 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
 
 def dataset_name(file: Column) -> Column:
     """The file name up to its implementation suffix, or all of it."""
-    # The file suffixes.
-    name = F.regexp_extract(file, r"^(.+?)_(?:cpu|gpu|gpu_stf)\.out", 1)
+    # The file suffixes; the last two are those of this engine's own suite.
+    name = F.regexp_extract(file, r"^(.+?)_(?:cpu|gpu|gpu_stf|task|rounds)\.out", 1)
     return F.coalesce(F.nullif(name, F.lit("")), file)
 
 
@@ -55,10 +67,10 @@ def partition_lines(logs: DataFrame) -> DataFrame:
 
 
 def partition_totals(logs: DataFrame) -> DataFrame:
-    """``total_vertices`` and ``total_edges`` as published (equal values count once), and true ``slots_total``, ``edges_total``."""
+    """``total_vertices`` as published (equal values count once), ``total_edges`` of all ranks, and the true ``slots_total``, ``edges_total``."""
     return partition_lines(logs).groupBy("file").agg(
         F.sum_distinct("vertices").alias("total_vertices"),
-        F.sum_distinct("edges").alias("total_edges"),
+        F.sum("edges").alias("total_edges"),
         F.sum("vertices").alias("slots_total"),
         F.sum("edges").alias("edges_total"),
     )
