@@ -1,8 +1,10 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import DOCS, awkward, empty
 from vertexloom.llm import langid, quality, queries
@@ -113,3 +115,131 @@ def test_temperature_calibrates():
 def test_tokens_mark_form():
     assert quality.tokens_of("The THE cat*** 12") == ["the", "the", "<repeat>", "<capitals>", "cat", "***", "12"]
     assert quality.tokens_of(None) == []
+
+
+def plain_scores(model, texts):
+    """The model's probabilities, each document's vector made whole and taken through both layers."""
+    from xxhash import xxh64_intdigest
+
+    own = dict(zip(model.words, model.vectors, strict=True))
+    out = []
+    for text in texts:
+        pooled = np.zeros(quality.DIMENSIONS)
+        tokens = quality.tokens_of(text)
+        for word in tokens:
+            vector = own.get(word)
+            if vector is None:
+                vector = np.zeros(quality.DIMENSIONS)
+                h, signs = xxh64_intdigest(word.encode(), seed=17), xxh64_intdigest(word.encode(), seed=18)
+                for i in range(quality.NONZERO):
+                    vector[h >> 8 * i & 255] += (1 - 2 * (signs >> i & 1)) / quality.NONZERO**0.5
+            pooled += vector
+        x = (pooled / max(1, len(tokens)) - model.mean) / model.spread
+        w1, b1, w2, b2 = model.weights
+        z = float((np.maximum(x @ w1 + b1, 0) @ w2 + b2)[0]) / model.temperature
+        out.append(1 / (1 + np.exp(-z)))
+    return out
+
+
+def test_quality_query_against_plain_numpy(spark, tmp_path):
+    docs, labels = junk(spark)
+    docs = docs.union(spark.createDataFrame([(900 + i, t, "en", "s", 0) for i, t in enumerate(("words never seen before", "z" * 5000, "a b " * 3000))], DOCS))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    rows = queries.op2_quality(spark, str(tmp_path)).collect()
+    known = docs.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+    model = quality.fit(known, labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] != 901}  # a token that long goes by its hash
+    wanted = dict(zip(texts, plain_scores(model, texts.values()), strict=True))
+    assert len(rows) == 306 and all(r["score"] == pytest.approx(wanted[r["doc_id"]], abs=1e-4) for r in rows if r["doc_id"] in wanted)
+
+
+def test_context_vectors_against_plain_sums():
+    texts = ["a b c a d", "b b", "", "d a c e"]
+    row = {"a": 0, "c": 1, "b": 2}
+    wanted = np.zeros((3, quality.DIMENSIONS))
+    for t in texts:
+        tokens = quality.tokens_of(t)
+        vectors = quality.index_vectors(tokens) * quality.NONZERO**0.5
+        for i, w in enumerate(tokens):
+            for j in range(max(0, i - quality.REACH), min(len(tokens), i + quality.REACH + 1)):
+                if j != i and w in row:
+                    wanted[row[w]] += vectors[j]
+    assert np.allclose(quality.context_sums(texts, row, 3), wanted, atol=1e-4)
+
+
+def test_quality_is_calibrated_on_unseen_rows(spark):
+    rng = random.Random(12)
+    rows, marks = [], []
+    for i in range(1200):
+        share = rng.random()
+        rows.append((i, " ".join(rng.choice(SOUNDS["en"]) + "x" if rng.random() < share else rng.choice(SOUNDS["de"]) for _ in range(40)), "en", "s", 0))
+        marks.append((i, int(rng.random() < 0.1 + 0.8 * share), 0))
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    scored = quality.score(docs.where("doc_id >= 600"), quality.fit(docs.where("doc_id < 600"), labels)).collect()
+    y = dict((i, q) for i, q, _ in marks)
+    bins = {}
+    for r in scored:
+        bins.setdefault(min(4, int(5 * r["score"])), []).append((r["score"], y[r["doc_id"]]))
+    error = sum(abs(sum(s - q for s, q in b)) for b in bins.values()) / len(scored)
+    assert error < 0.12
+
+
+def test_new_columns_may_clash(spark):
+    docs, labels = junk(spark, 60)
+    clashing = docs.selectExpr("*", "'x' as score", "'y' as lang_pred", "1 as held_out")
+    scored = quality.score(clashing, quality.fit(clashing, labels))
+    assert sorted(scored.columns) == sorted(clashing.columns) and dict(scored.dtypes)["score"] == "double"
+    kept = quality.score(clashing, quality.fit(clashing, labels), into="quality_score")
+    assert {r["score"] for r in kept.collect()} == {"x"}
+    told = langid.predict(clashing, langid.fit(clashing), into="told", score_into="sure")
+    assert {(r["score"], r["lang_pred"]) for r in told.collect()} == {("x", "y")}
+
+
+def test_repeated_ids_are_learnt_alike(spark):
+    docs, labels = junk(spark, 80)
+    more = docs.union(docs.selectExpr("doc_id", "concat(text, ' other') as text", "lang", "source", "n_chars"))
+    a, b = quality.fit(more.coalesce(1), labels), quality.fit(more.repartition(5, "text"), labels)
+    assert a.words == b.words and np.array_equal(a.vectors, b.vectors) and a.temperature == b.temperature
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    df = corpus(spark, 90, 3).union(spark.createDataFrame([(500, "thebing " * 3 + "q" * 30, "en", "s", 0)], DOCS))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r["doc_id"]: r for r in queries.op5_language(spark, str(tmp_path)).collect()}
+    model = langid.fit(df, usable=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+    outside, none = np.full(len(model.languages), langid.OUTSIDE), np.zeros(len(model.languages))
+
+    def total(word):
+        upto = [np.ones(len(model.languages))]
+        for j in range(1, len(word) + 1):
+            upto.append(sum(upto[i] * np.array(model.probability.get(word[i:j], outside if j - i == 1 else none)) for i in range(j)))
+        return np.log(upto[-1])
+
+    for r in df.where("text is not null").collect():
+        words = langid.words_of(r["text"])
+        if words:
+            sums = sum(total(w) for w in words)
+            posterior = np.exp(sums - sums.max()) / np.exp(sums - sums.max()).sum()
+            assert rows[r["doc_id"]]["lang_pred"] == model.languages[int(sums.argmax())]
+            assert rows[r["doc_id"]]["score"] == pytest.approx(posterior.max(), rel=1e-5)
+
+
+def test_long_words_are_scored_like_short_ones(monkeypatch):
+    from collections import Counter
+
+    model = langid.estimate({"a": Counter({"▁there": 3, "▁the": 5}), "b": Counter({"▁schung": 4})})
+    words = sorted({"▁" + w for w in ("the" * 30, "the" * 31, "schungtherex" * 9, "there", "x")})
+    plain = langid.Scorer(model)
+    plain.learn(words)
+    monkeypatch.setattr(langid, "LONG", 40)
+    cut = langid.Scorer(model)
+    cut.learn(words)
+    assert np.allclose(plain.scores, cut.scores, rtol=1e-9)
+    began = time.perf_counter()
+    assert cut(["there" * 200_000])[1].all() and time.perf_counter() - began < 60
+
+
+def test_the_most_frequent_labels_are_learnt(spark):
+    df = corpus(spark, 120, 5).union(spark.createDataFrame([(900 + i, "odd word", f"dirt{i}", "s", 0) for i in range(9)], DOCS))
+    assert set(langid.fit(df, languages=3).languages) == {"en", "de", "fr"}

@@ -7,7 +7,9 @@ backward scores give each piece's expected count.
 
 The classifier is fitted on a bounded sample of labelled rows: of each language those whose hash of id
 and text falls under the share that gives ``rows_per_language`` rows, copies once, and of their words
-the ``words_per_language`` most frequent.  Scoring covers every row and every word of it.
+the ``words_per_language`` most frequent; the ``languages`` labels with most rows are learnt, so that dirty labels
+don't make it grow.  Scoring covers every row and every word of it; a run of letters of any length takes linear time and
+holds the forward scores that a piece can reach back to.
 
 Null texts and texts without a letter get ``und`` and score 0; with no labelled row at all, every text
 does.  Rows that repeat are scored alike; extra columns are kept, but ``lang_pred`` and ``score`` (or the names chosen for them) are replaced.
@@ -34,6 +36,8 @@ from vertexloom.llm.pieces import MARK, MODEL, _appended, _with, common_prefix,
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 REMEMBERED = 250_000
+#: Words longer than this are scored with the last few forward scores in hand instead of all.
+LONG = 1000
 #: Probability mass of a character that no piece covers, and the pieces' additive smoothing.
 OUTSIDE, SMOOTHING = 1e-7, 0.01
 #: Forward scores are scaled up, for all languages alike, where the largest falls below this.
@@ -105,10 +109,15 @@ class Scorer:
         new: list[list[float]] = []
         ending, n = self.endings.get, len(self.model.languages)
         outside = (OUTSIDE,) * n
-        forward, log_scale, before = [(1.0,) * n], [0.0], ""
+        forward: list | dict = [(1.0,) * n]
+        log_scale: list | dict = [0.0]
+        before = ""
         for word in words:
-            shared = common_prefix(before, word)
-            del forward[shared + 1 :], log_scale[shared + 1 :]
+            if long := len(word) > LONG:  # kept as far back as a piece reaches, and shared with no other word
+                forward, log_scale, shared = {0: (1.0,) * n}, {0: 0.0}, 0
+            else:
+                shared = common_prefix(before, word)
+                del forward[shared + 1 :], log_scale[shared + 1 :]
             for j in range(shared + 1, len(word) + 1):
                 total, last = [0.0] * n, log_scale[j - 1]
                 for i in range(j - 1, -1, -1):
@@ -126,11 +135,18 @@ class Scorer:
                 if (most := max(total)) < RESCALE:
                     scale = most or 1e-300
                     total, last = [max(t / scale, 1e-300) for t in total], last + log(scale)
-                forward.append(total)
-                log_scale.append(last)
+                if long:
+                    forward[j], log_scale[j] = total, last
+                    forward.pop(j - self.model.longest - 1, None)
+                    log_scale.pop(j - self.model.longest - 1, None)
+                else:
+                    forward.append(total)
+                    log_scale.append(last)
             self.rows[word] = len(self.scores) + len(new)
-            new.append([log(f or 1e-300) + log_scale[-1] for f in forward[-1]] if any(map(str.isalpha, word)) else [0.0] * n)
+            new.append([log(f or 1e-300) + log_scale[len(word)] for f in forward[len(word)]] if any(map(str.isalpha, word)) else [0.0] * n)
             before = word
+            if long:
+                forward, log_scale, before = [(1.0,) * n], [0.0], ""
         if new:
             self.scores = np.concatenate((self.scores, np.array(new)))
 
@@ -150,11 +166,15 @@ class Scorer:
         return sums, sums.any(axis=1)
 
 
-def fit(docs: DataFrame, label: str = "lang", usable: Column | None = None, rows_per_language: int = 1000, words_per_language: int = 5000, path: str = MODEL) -> Model | None:
-    """The model of the labelled rows of ``docs`` (doc_id, text and ``label``) where ``usable`` holds."""
+def fit(docs: DataFrame, label: str = "lang", usable: Column | None = None, rows_per_language: int = 1000, words_per_language: int = 5000, languages: int = 200, path: str = MODEL) -> Model | None:
+    """The model of the labelled rows of ``docs`` (doc_id, text and ``label``) where ``usable`` holds.
+
+    The ``languages`` labels with most rows are learnt, ties to the smaller label.
+    """
     rows = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull())
     rows = rows.where(usable) if usable is not None else rows
-    share = rows.groupBy(label).agg(F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.count("*")).alias("share"))
+    share = rows.groupBy(label).agg(F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.count("*")).alias("share"), F.count("*").alias("n"))
+    share = share.orderBy(F.desc("n"), F.col(label).cast("string")).limit(languages).drop("n")
     key = F.xxhash64(id_text(F.col("doc_id")), "text")
     drawn = rows.select(label, "text", key.alias("key")).join(F.broadcast(share), label)
     sample = drawn.where(F.pmod("key", F.lit(1 << 31)) < F.col("share") * (1 << 31)).dropDuplicates([label, "key"])
