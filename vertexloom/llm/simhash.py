@@ -3,8 +3,9 @@
 A text's fingerprint has the bits that are set in over half the XXH64 hashes of its 3-word shingles.  All
 pairs of distinct fingerprints that differ in ``max_bits`` bits or fewer are links:
 
-* a vantage-point tree is fitted on a bounded sample of fingerprints; its leaves are shards.  Every
-  fingerprint has one home leaf, on its side of each radius;
+* a vantage-point tree is fitted on a sample of fingerprints that grows with the number of leaves; its leaves are shards.
+  Of a few vantage points and radii those are taken that cut the fewest balls.  Every fingerprint has one home leaf,
+  on its side of each radius;
 * the ball of ``max_bits`` around a fingerprint may cross a radius.  By the triangle inequality a leaf
   can hold a partner only where the ball reaches, so the fingerprint also visits those leaves behind
   its home (the pair is found once, at the later home);
@@ -16,8 +17,10 @@ star contraction.  Equal fingerprints are one node, so groups of copies cost not
 shapes the tree; any tree gives the same links.  In 64 bits the ball of a random fingerprint crosses a
 median radius more often than not, so work grows with a power of about 1.7 (README).
 
-Null and empty texts have fingerprint 0 and are linked like any other.  Rows without an id are linked but
-never name a component; a component with no id at all has a null id.  Repeated rows share a component.
+Null and empty texts have fingerprint 0 and are linked like any other; texts of any length are hashed whole.  Rows without an
+id are linked but never name a component; a component with no id at all has a null id.  Repeated rows share a
+component.  An empty table gives an empty result.  Columns beyond doc_id and text aren't read by ``near_duplicates``, and
+``representatives`` keeps them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +41,11 @@ from vertexloom.operators.components import star_roots
 
 SHINGLE, SEED = 3, 42
 MAX_BITS = 3
-LEAF, SAMPLE = 32768, 16384
+#: Distinct fingerprints that a leaf is meant to hold, and of the sample, which grows with the number of leaves: its size at least,
+#: and points per leaf.  So a leaf's size is known to a tenth at any number of leaves, and the sample is one in 128 fingerprints at most.
+LEAF, SAMPLE, PER_LEAF = 32768, 16384, 256
+#: Points that may become a vantage point, and points by which they are judged.
+CANDIDATES, JUDGED = 6, 2048
 #: Keys of dropped rows up to which their list is broadcast (16 bytes each).
 BROADCAST_ROWS = 1_000_000
 #: Pairs compared at once, and pairs below which a search isn't pruned further.
@@ -90,18 +97,35 @@ def marked(rows: DataFrame) -> DataFrame:
 # Trees: a leaf is its number, an inner node (vantage point, radius, near child, far child).
 
 
-def grow(sample: np.ndarray, depth: int, rng: np.random.Generator, first: int = 0) -> tuple[object, int]:
-    """A tree over ``sample`` and the number of the next leaf."""
-    if depth == 0 or len(sample) < 2:
+def split_point(sample: np.ndarray, reach: int, rng: np.random.Generator) -> tuple[int, int]:
+    """The vantage point and radius, of a few points and the radii that leave a third on either side, that cut the fewest balls."""
+    few = sample[rng.choice(len(sample), min(len(sample), JUDGED), replace=False)]
+    best = None
+    for point in few[rng.choice(len(few), min(len(few), CANDIDATES), replace=False)]:
+        counts = np.bincount(np.bitwise_count(few ^ point), minlength=65)
+        inside = np.cumsum(counts)
+        for radius in range(64):
+            if len(few) <= 3 * inside[radius] <= 2 * len(few):
+                # Balls around points up to ``reach`` within the radius reach out, and those up to as much beyond reach in.
+                cut = inside[min(64, radius + reach)] - (inside[radius - reach] if radius >= reach else 0)
+                if best is None or cut < best[0]:
+                    best = cut, point, radius
+    if best is not None:
+        return best[1], best[2]
+    point = few[0]
+    return point, int(np.median(np.bitwise_count(few ^ point)))
+
+
+def grow(sample: np.ndarray, depth: int, rng: np.random.Generator, first: int = 0, reach: int = MAX_BITS, leaf: int = 1) -> tuple[object, int]:
+    """A tree over ``sample`` and the number of the next leaf; nodes of ``leaf`` sample points or fewer, or at ``depth``, are leaves."""
+    if depth == 0 or len(sample) < 2 or len(sample) <= leaf:
         return first, first + 1
-    point = sample[rng.integers(len(sample))]
-    away = np.bitwise_count(sample ^ point)
-    radius = int(np.median(away))
-    near = away <= radius
-    if near.all():
+    point, radius = split_point(sample, reach, rng)
+    near = np.bitwise_count(sample ^ point) <= radius
+    if near.all() or not near.any():
         return first, first + 1
-    low, nxt = grow(sample[near], depth - 1, rng, first)
-    high, nxt = grow(sample[~near], depth - 1, rng, nxt)
+    low, nxt = grow(sample[near], depth - 1, rng, first, reach, leaf)
+    high, nxt = grow(sample[~near], depth - 1, rng, nxt, reach, leaf)
     return (point, radius, low, high), nxt
 
 
@@ -171,9 +195,11 @@ def link_within(points: np.ndarray, home: np.ndarray, visitors: np.ndarray, reac
 def links(distinct: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF, seed: int = 5) -> DataFrame:
     """A spanning forest (u, v) of all links between the distinct fingerprints ``fp``."""
     n = distinct.count()
-    depth = max(0, math.ceil(math.log2(max(1, n / leaf))))
-    sample = [r["fp"] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()] if depth else []
-    tree, _ = grow(np.array(sample, dtype=np.int64).view(np.uint64), depth, np.random.default_rng(seed))
+    leaves = max(1, n / leaf)
+    size = max(SAMPLE, PER_LEAF * math.ceil(leaves))
+    sample = [r["fp"] for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(size).collect()] if leaves > 1 else []
+    # A side may keep two thirds: nodes are split until the sample says that a leaf is small enough.
+    tree, _ = grow(np.array(sample, dtype=np.int64).view(np.uint64), 2 * math.ceil(math.log2(leaves)) + 1, np.random.default_rng(seed), 0, max_bits, max(1, int(len(sample) / leaves)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
