@@ -19,7 +19,7 @@ def split(text):
 def brute(texts, items):
     out = []
     for text in texts:
-        w, hit, found = split(text), set(), set()
+        w, hit, found, near = split(text), set(), set(), set()
         for item_id, item in items:
             v = split(item)
             n = min(13, len(v))
@@ -28,7 +28,10 @@ def brute(texts, items):
                     if w[p : p + n] == v[s : s + n]:
                         hit.update(range(p, p + n))
                         found.add(str(item_id))
-        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+                wanted = set(v[s : s + n])
+                if any(w[p] in wanted and wanted <= set(w[p : p + 30]) for p in range(len(w))):
+                    near.add(str(item_id))
+        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), len(near)))
     return out
 
 
@@ -58,7 +61,7 @@ def test_query_against_brute_force_and_oracle(spark, tmp_path, monkeypatch, limi
     texts, items = planted()
     tables(spark, tmp_path, texts, items)
     rows = queries.op4_decontamination(spark, str(tmp_path)).collect()
-    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in rows}
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"], r["n_near"]) for r in rows}
     assert got == dict(enumerate(brute(texts, items)))
     con = duckdb.connect()
     for name in ("documents", "benchmark"):
@@ -96,9 +99,35 @@ def test_proximity(spark):
     texts = ["alpha x x beta x gamma", "gamma beta alpha", "alpha " + "x " * 40 + "beta gamma", "alpha beta", "x y"]
     tokens = decontam.tokenised(frame(spark, texts))
     items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha missing")], ITEMS)
-    found = decontam.proximity_matches(tokens, items, span=6).join(tokens, ["k1", "k2"]).select("doc_id", "item_id", "start")
+    found = decontam.proximity_matches(decontam.inverted_index(tokens, items, span=6)).join(tokens, ["k1", "k2"]).select("doc_id", "item_id", "start")
     assert sorted(map(tuple, found.collect())) == [(0, "1", 0), (1, "1", 0)]
 
 
+@pytest.mark.parametrize("span", [4, 9, 30])
+def test_proximity_against_brute_force(spark, span):
+    rng = random.Random(span)
+    items = [(i, " ".join(words(rng, n, 9))) for i, n in enumerate([3, 2, 1, 5, 8])]
+    texts = [" ".join(words(rng, rng.choice([4, 20, 90]), 12)) for _ in range(50)]
+    wanted = set()
+    for doc, text in enumerate(texts):
+        w = split(text)
+        for item_id, item in items:
+            v = split(item)
+            for s in range(max(1, len(v) - 3)):
+                own = set(v[s : s + 4])
+                wanted |= {(doc, str(item_id), p) for p in range(len(w)) if w[p] in own and own <= set(w[p : p + span])}
+    tokens = decontam.tokenised(frame(spark, texts))
+    index = decontam.inverted_index(tokens, spark.createDataFrame(items, ITEMS), window=4, span=span)
+    found = decontam.proximity_matches(index).join(tokens, ["k1", "k2"]).select("doc_id", "item_id", "start").collect()
+    assert len(found) == len(wanted) and set(map(tuple, found)) == wanted
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    df = spark.range(10).selectExpr("repeat('x', 1000) as t")
+    assert "broadcast" in decontam.small(df)._jdf.queryExecution().logical().toString().lower()
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 5000)
+    assert "broadcast" not in decontam.small(df)._jdf.queryExecution().logical().toString().lower()
+
+
 def test_documents_schema_is_as_stated():
     assert DOCS.startswith("doc_id long, text string")

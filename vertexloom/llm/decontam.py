@@ -6,26 +6,31 @@ the terms picked; the other lists would never be read.  A phrase is found by int
 by their offsets: the rarest term's postings propose alignments, the second rarest's confirm them on
 the same diagonal, and a posting of the rarest term carries the words around it, on which the
 window is compared word by word.  So nothing but two short lists is shuffled, and no text is read
-again.  Proximity matches intersect the lists of an item's rarest terms within a span of words.
+again.  A proximity match is a stretch of ``span`` words that begins with a word of a window and holds all of its distinct
+words, in any order; the rarest term's postings propose these too, and the words around them decide.
 
 Documents are told apart by two hashes of id and text, so null or repeated ids do no harm; rows equal
-in both get equal results.  Null and empty texts have no words and aren't contaminated.  Items that
-repeat, with null texts or without words do no harm either; an empty benchmark hits nothing.
+in both get equal results.  Null and empty texts have no words and aren't contaminated; very long texts are one row of words,
+and their postings rows of their own.  Items that repeat, with null texts or without words do no harm either; an
+empty table gives an empty result, an empty benchmark hits nothing.  Extra columns are kept by ``clean`` and not read otherwise,
+whatever their names.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vertexloom.llm.base import UPPER, id_text, stage
 
-WINDOW = 13
+WINDOW, SPAN = 13, 30
 #: ASCII signs that part words: all but digits and letters.
 SIGNS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
-#: Rows of a small side up to which it is broadcast; beyond, Spark joins by a shuffle.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes (as JSON) of a small side up to which it is broadcast; beyond, Spark joins by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -46,8 +51,10 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted and small."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` with a broadcast hint if it is measured and small."""
+    one = F.octet_length(F.to_json(F.struct("*")))
+    rows, size = df.select(one.alias("size")).limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
 
 
 def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
@@ -80,18 +87,34 @@ def ranked_windows(windows: DataFrame, counts: DataFrame) -> DataFrame:
     return best.select("item", "s", F.col("r")[0]["term"].alias("t1"), F.col("r")[0]["at"].alias("p1"), F.col("r2.term").alias("t2"), F.col("r2.at").alias("p2")).join(windows, ["item", "s"])
 
 
-def phrase_matches(tokens: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``k1``, ``k2``, ``item_id``, ``start`` and ``length`` of every occurrence of a window in a document."""
+@dataclass
+class Index:
+    """Windows of the benchmark with their rarest terms (``ranked``) and the ``postings`` of these terms."""
+
+    ranked: DataFrame
+    postings: DataFrame
+    window: int
+    span: int
+
+
+def inverted_index(tokens: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int = SPAN) -> Index:
+    """The positional index that both kinds of matches are read from."""
     windows = windows_of(benchmark, window)
     counts = frequencies(tokens, windows.select(F.explode("win").alias("term")).distinct())
     ranked = stage(ranked_windows(windows, counts), "decontam-ranked")
     terms = ranked.select(F.col("t1").alias("term"), F.lit(True).alias("wide")).union(ranked.select("t2", F.lit(False))).groupBy("term").agg(F.max("wide").alias("wide"))
-    index = postings(tokens, terms, window)
-    key = ["k1", "k2", "item", "diagonal"]
+    return Index(ranked, postings(tokens, terms, max(window, span - 1)), window, span)
+
+
+def phrase_matches(index: Index) -> DataFrame:
+    """``k1``, ``k2``, ``item_id``, ``start`` and ``length`` of every occurrence of a window in a document."""
+    ranked, key = index.ranked, ["k1", "k2", "item", "diagonal"]
     rarest = small(ranked.select("item", F.col("t1").alias("term"), F.col("p1")).distinct())
-    proposed = index.join(rarest, "term").select("k1", "k2", "item", (F.col("pos") - F.col("p1")).alias("diagonal"), "p1", "first", "context")
+    first = F.greatest(F.col("pos") - index.window, F.lit(0))
+    context = F.slice("context", first - F.col("first") + 1, 2 * index.window + 1)
+    proposed = index.postings.join(rarest, "term").select("k1", "k2", "item", (F.col("pos") - F.col("p1")).alias("diagonal"), "p1", first.alias("first"), context.alias("context"))
     second = small(ranked.select("item", F.col("t2").alias("term"), F.col("p2")).distinct())
-    confirming = index.join(second, "term").select("k1", "k2", "item", (F.col("pos") - F.col("p2")).alias("diagonal"), "p2")
+    confirming = index.postings.join(second, "term").select("k1", "k2", "item", (F.col("pos") - F.col("p2")).alias("diagonal"), "p2")
     pairs = small(ranked.select("item", "p1", "p2").distinct())
     agreed = proposed.join(pairs, ["item", "p1"]).join(confirming, [*key, "p2"], "left_semi")
     checked = agreed.join(small(ranked.select("item", "item_id", "s", "win", "p1", "p2")), ["item", "p1", "p2"])
@@ -100,22 +123,15 @@ def phrase_matches(tokens: DataFrame, benchmark: DataFrame, window: int = WINDOW
     return sound.select("k1", "k2", "item_id", start.alias("start"), F.size("win").alias("length")).distinct()
 
 
-def proximity_matches(tokens: DataFrame, benchmark: DataFrame, span: int = 30, rarest: int = 4) -> DataFrame:
-    """``k1``, ``k2``, ``item_id`` and ``start``: all of an item's ``rarest`` distinct terms stand within ``span`` words.
-
-    Only items all of whose terms occur in the corpus can match; ``start`` is the first of the words in the span.
-    """
-    items = windows_of(benchmark, 1).select("item", "item_id", F.col("win")[0].alias("term")).distinct()
-    counts = frequencies(tokens, items.select("term").distinct())
-    order = Window.partitionBy("item").orderBy(F.coalesce("n", F.lit(0)), "term")
-    chosen = items.join(counts, "term", "left").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rarest)
-    chosen = chosen.withColumn("need", F.count("*").over(Window.partitionBy("item")))
-    index = postings(tokens, chosen.select("term").distinct().withColumn("wide", F.lit(False)), 0)
-    placed = index.join(small(chosen.select("item", "item_id", "term", "rank", "need")), "term")
-    inside = placed.join(placed.where("rank = 1").select("k1", "k2", "item").distinct(), ["k1", "k2", "item"], "left_semi")
-    ahead = Window.partitionBy("k1", "k2", "item").orderBy("pos").rangeBetween(0, span - 1)
-    found = inside.withColumn("seen", F.size(F.collect_set("term").over(ahead))).where("seen = need")
-    return found.select("k1", "k2", "item_id", F.col("pos").alias("start")).distinct()
+def proximity_matches(index: Index) -> DataFrame:
+    """``k1``, ``k2``, ``item_id`` and ``start``: ``span`` words that begin with a word of a window and hold all of its distinct words."""
+    chosen = small(index.ranked.select("item_id", F.col("t1").alias("term"), F.array_distinct("win").alias("wanted")).distinct())
+    near = index.postings.where("context is not null").join(chosen, "term").where(F.size(F.array_except("wanted", "context")) == 0)
+    at = F.col("pos") - F.col("first")
+    starts = F.sequence(F.greatest(at - index.span + 1, F.lit(0)), at)
+    holds = lambda o: F.array_contains(F.col("wanted"), F.get("context", o)) & (F.size(F.array_except("wanted", F.slice("context", o + 1, F.lit(index.span)))) == 0)
+    found = near.select("k1", "k2", "item_id", "first", F.explode(F.filter(starts, holds)).alias("o"))
+    return found.select("k1", "k2", "item_id", (F.col("first") + F.col("o")).alias("start")).distinct()
 
 
 def hits(matches: DataFrame) -> DataFrame:
@@ -126,13 +142,20 @@ def hits(matches: DataFrame) -> DataFrame:
     return spans.withColumn("new", new).groupBy("k1", "k2").agg(F.sum("new").cast("long").alias("n_hit"), F.sort_array(F.collect_set("item_id")).alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_hit``, ``items`` and ``contaminated`` (a twentieth hit or more) of every row."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, span: int | None = None) -> DataFrame:
+    """``doc_id``, ``n_words``, ``n_hit``, ``items`` and ``contaminated`` (a twentieth hit or more) of every row; with ``span`` also
+    ``near``, the sorted ids of the items with proximity matches."""
     tokens = tokenised(docs)
-    found = hits(phrase_matches(tokens, benchmark, window))
+    index = inverted_index(tokens, benchmark, window, span or 0)
+    found = hits(phrase_matches(index))
     rows = tokens.select("doc_id", "k1", "k2", "n_words").join(found, ["k1", "k2"], "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "k1", "k2")
+    none = F.array().cast("array<string>")
+    more = []
+    if span:
+        near = proximity_matches(index).groupBy("k1", "k2").agg(F.sort_array(F.collect_set("item_id")).alias("near"))
+        rows, more = rows.join(near, ["k1", "k2"], "left"), [F.coalesce("near", none).alias("near")]
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), "k1", "k2", *more)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -28,11 +28,20 @@ dw AS (
 ),
 m AS (SELECT r, s, n, item_id FROM dw JOIN bw USING (n, win)),
 h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM m) GROUP BY r),
-i AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM m GROUP BY r)
+i AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM m GROUP BY r),
+nw AS (SELECT row_number() OVER () AS k, item_id, list_distinct(w[s : s + least(len(w), 13) - 1]) AS ts
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 11, 2))) AS s FROM b WHERE len(w) > 0)),
+nt AS MATERIALIZED (SELECT k, item_id, len(ts) AS need, unnest(ts) AS term FROM nw),
+dt AS MATERIALIZED (SELECT r, p, term FROM (SELECT r, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM d) WHERE term IN (SELECT term FROM nt)),
+np AS MATERIALIZED (SELECT r, k FROM (SELECT DISTINCT r, term FROM dt) JOIN nt USING (term) GROUP BY r, k, need HAVING count(*) = need),
+nx AS MATERIALIZED (SELECT np.r, np.k, item_id, need, dt.p, dt.term FROM np JOIN nt USING (k) JOIN dt ON dt.r = np.r AND dt.term = nt.term),
+ny AS (SELECT a.r, a.k, a.item_id, a.p FROM nx a JOIN nx c ON c.r = a.r AND c.k = a.k AND c.p BETWEEN a.p AND a.p + 29
+       GROUP BY a.r, a.k, a.item_id, a.p, a.need HAVING count(DISTINCT c.term) = a.need),
+nz AS (SELECT r, count(DISTINCT item_id) AS n_near FROM ny GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r) LEFT JOIN nz USING (r)
 """
 
 OP6 = f"""
