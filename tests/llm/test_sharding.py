@@ -1,7 +1,10 @@
+import math
 import random
+import zlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.data import awkward, empty, frame
 from vertexloom.llm import queries, sharding
@@ -80,3 +83,46 @@ def test_query(spark, tmp_path):
     assert len(rows) == 15 and {r["law"] for r in rows} == {"rows"}
     by = {r["doc_id"]: r for r in rows}
     assert (by[2]["size"], by[2]["text_crc32"]) == (8, 0) and by[7]["size"] == 8 + len("ÀÉ Straße 中文".encode())
+
+
+@pytest.mark.parametrize("range_rows", [4096, 16])
+def test_matrix_shuffle_replayed(spark, range_rows):
+    """Permute every source, cut it by the matrix, exchange, permute every shard: done once more in plain Python."""
+    seed, shards = 7, 4
+    df = frame(spark, [f"t{i}" for i in range(157)]).repartition(5, "doc_id")
+    keyed = df.select("doc_id", F.spark_partition_id().alias("p"), F.xxhash64(F.lit(seed), F.monotonically_increasing_id()).alias("key")).collect()
+    sources = sorted({r["p"] for r in keyed})
+    permuted = {p: [r["doc_id"] for r in sorted((r for r in keyed if r["p"] == p), key=lambda r: r["key"])] for p in sources}
+    matrix = sharding.communication_matrix([len(permuted[p]) for p in sources], sharding.shard_sizes(157, shards), seed)
+    second = {(r["s"], r["r"]): r["key"] for r in spark.range(157).crossJoin(spark.createDataFrame([(p,) for p in sources], "s int")).select("s", F.col("id").alias("r"), F.xxhash64(F.lit(seed + 1), "s", "id").alias("key")).collect()}
+    received = {s: [] for s in range(shards)}
+    for p, row in zip(sources, matrix, strict=True):
+        at = 0
+        for s, n in enumerate(row):
+            received[s] += [(second[p, rank] % 2**64, permuted[p][rank]) for rank in range(at, at + n)]
+            at += n
+    bits = max(0, math.ceil(math.log2(max(1, 157 / shards / range_rows))))
+    signed = lambda k: k - 2**64 if k >= 2**63 else k
+    wanted = {}
+    for s, rows in received.items():
+        for slot, (_, doc) in enumerate(sorted(rows, key=lambda r: (r[0] >> 64 - bits if bits else 0, signed(r[0])))):
+            wanted[doc] = (s, slot)
+    assert {r[0]: (r[2], r[3]) for r in dealt(df, shards, range_rows=range_rows)} == wanted
+
+
+def test_query_against_plain_values(spark, tmp_path):
+    df = awkward(spark)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op7_shards(spark, str(tmp_path)).collect()
+    text = lambda t: (t or "").encode()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((r["doc_id"], len(text(r["text"])) + 8, zlib.crc32(text(r["text"]))) for r in df.collect())
+    check([(r["doc_id"], None, r["shard"], r["slot"]) for r in rows], df.count(), 24)
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
+
+
+def test_shuffle_is_uniform(spark):
+    """Every row lands in every shard about equally often over many seeds."""
+    df = frame(spark, [f"t{i}" for i in range(12)]).repartition(3, "doc_id").cache()
+    landed = Counter((r[0], r[2]) for seed in range(40) for r in dealt(df, 3, seed=seed))
+    expected = 40 / 3
+    assert sum((landed[i, s] - expected) ** 2 / expected for i in range(12) for s in range(3)) < 60

@@ -106,3 +106,31 @@ def test_one_representative_of_each_group(spark):
     kept = sorted(r["doc_id"] for r in simhash.representatives(df).where("doc_id is not null").collect())
     assert 0 in kept and 1 not in kept and 10 not in kept and len(kept) == len(set(kept))
     assert simhash.representatives(df).columns == df.columns
+
+
+def test_representatives_are_chosen_by_row(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(1, a), (1, b), (2, b), (1, a), (None, c), (None, c), (3, c), (None, "lone words here"), (None, "lone words here"), (4, None), (5, ""), (1, a)]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(4)):
+        kept = sorted(((r["doc_id"], r["text"]) for r in simhash.representatives(df).collect()), key=str)
+        assert kept == sorted([(1, a), (1, b), (3, c), (None, "lone words here"), (4, None)], key=str)
+
+
+def test_representatives_with_clashing_columns(spark, monkeypatch):
+    rng = random.Random(9)
+    a, b = " ".join(words(rng, 60)), " ".join(words(rng, 60))
+    df = spark.createDataFrame([(1, a, 1, 2, 3, "x", "y"), (2, a, 1, 2, 3, "x", "y"), (3, b, 1, 2, 3, "x", "y"), (3, b, 1, 2, 3, "x", "y")], "doc_id long, text string, k1 int, k2 int, key1 int, root string, fp string")
+    for limit in (10**6, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", limit)
+        out = simhash.representatives(df)
+        assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
+def test_tree_of_a_grown_sample_has_small_leaves():
+    rng = np.random.default_rng(2)
+    points = rng.integers(0, 2**63, 60000, dtype=np.uint64)
+    sample = rng.choice(points, simhash.PER_LEAF * 60, replace=False)
+    tree, leaves = simhash.grow(sample, 13, rng, 0, 3, len(sample) // 60)
+    sizes = [int(home.sum()) for _, _, home in simhash.place(tree, points, 3)]
+    assert leaves >= 60 and sum(sizes) == 60000 and max(sizes) < 1.3 * 1000
