@@ -76,6 +76,11 @@ class Vocabulary:
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str = MODEL) -> Vocabulary:
+    """The vocabulary of a model file; where this machine has no such path, of the file of that name that was sent with ``addFile``."""
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     return Vocabulary(os.path.realpath(path))
 
 
