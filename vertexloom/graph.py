@@ -51,7 +51,18 @@ class Graph:
 
     @cached_property
     def num_vertices(self) -> int:
-        return self.size().first()["num_vertices"]
+        return self._counted()["num_vertices"]
+
+    @cached_property
+    def num_edges(self) -> int:
+        return self._counted()["num_edges"]
+
+    def _counted(self) -> dict:
+        """Both counts from one scan; what is known already stays."""
+        found = self.size().first().asDict()
+        for name, n in found.items():
+            self.__dict__.setdefault(name, n)
+        return self.__dict__
 
     def staged(self) -> Graph:
         """The same graph over a written edge table, for algorithms that scan it many times."""

@@ -83,12 +83,12 @@ def bfs(graph: Graph, source: int | str | None = None, max_hops: int | None = No
     spark = graph.spark
     if is_small(graph, small_edges):
         start = _source(graph.num_vertices, source, seed)
-        done = stage(in_one_task(graph.edges, bfs_kernel(start, max_hops), "kind int, vertex long, hop int, seconds double"), "bfs")
-        seconds = [r["seconds"] for r in done.where("kind = 1").orderBy("vertex").collect()]
-        search = Search(graph, start, done.where("kind = 0").select("vertex", "hop"), level_seconds=seconds)
-        for level, n in enumerate(search.level_sizes):
+        done = stage(in_one_task(graph.edges, bfs_kernel(start, max_hops), "kind int, vertex long, hop int, n long, seconds double"), "bfs")
+        levels = [(r["n"], r["seconds"]) for r in done.where("kind = 1").orderBy("vertex").collect()]
+        for level, (n, _) in enumerate(levels):
             log.info("level %d: %d vertices", level, n)
-        return search
+        sizes = [n for n, _ in levels if n]
+        return Search(graph, start, done.where("kind = 0").select("vertex", "hop"), sizes, [s for _, s in levels[1:]])
     start = _source(graph.num_vertices, source, seed)
     edges = bucketed(graph.edges, "bfs_edges", "src")
     levels = Levels(spark, "bfs", "vertex long, hop int")

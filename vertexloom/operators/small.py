@@ -1,8 +1,8 @@
 """Graphs that fit one task: numpy kernels in a single Arrow task, behind a check of the counted size.
 
 A loop of distributed rounds costs some tenths of a second per round whatever the size.  Up to ``SMALL_EDGES``
-edges (16 bytes each) and ``SMALL_VERTICES`` ids the same algorithms run in one task instead; beyond,
-the distributed rounds of the operators take over.  Both give the same results (tests run both).
+edges (8 bytes each while ids fit 31 bits, else 16) and ``SMALL_VERTICES`` ids the same algorithms run in one task
+instead, in some 500 MB at most; beyond, the distributed rounds of the operators take over.  Both give the same results (tests run both).
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from vertexloom.graph import Graph
 
-SMALL_EDGES = 4_000_000
+SMALL_EDGES = 16_000_000
 SMALL_VERTICES = 16_000_000
 
 Kernel = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
@@ -26,50 +26,73 @@ def is_small(graph: Graph, limit: int | None = None) -> bool:
     """Whether the graph's counted size allows one task; ``limit`` replaces the number of edges."""
     if limit == 0:
         return False
-    size = graph.size().first()
-    graph.__dict__.setdefault("num_vertices", size["num_vertices"])
-    return size["num_edges"] <= (SMALL_EDGES if limit is None else limit) and graph.num_vertices <= SMALL_VERTICES
+    return graph.num_edges <= (SMALL_EDGES if limit is None else limit) and graph.num_vertices <= SMALL_VERTICES
 
 
 def in_one_task(edges: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
     """The kernel's columns over all edges; the edges have been counted and are few."""
     names = [c.split()[0] for c in schema.split(", ")]
 
+    def held(column: pa.Array) -> np.ndarray:
+        values = column.to_numpy()
+        return values.astype(np.int32) if len(values) and values.max() < 2**31 and values.min() >= 0 else values
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        src, dst = (np.concatenate([h[i] for h in held] or [np.empty(0, np.int64)]) for i in range(2))
+        parts = [(held(b.column(0)), held(b.column(1))) for b in batches if b.num_rows]
+        src, dst = (np.concatenate([p[i] for p in parts] or [np.empty(0, np.int64)]) for i in range(2))
+        parts.clear()
         out = kernel(src, dst)
         yield pa.RecordBatch.from_arrays([pa.array(out[n]) for n in names], names=names)
 
-    return edges.select("src", "dst").repartition(1).mapInArrow(run, schema)
+    written = getattr(edges, "staged_path", None) is not None
+    gathered = edges.select("src", "dst").coalesce(1) if written else edges.select("src", "dst").repartition(1)
+    return gathered.mapInArrow(run, schema)
+
+
+def by_source(src: np.ndarray, dst: np.ndarray, source: int) -> tuple[np.ndarray | None, int, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Ids (none: they are their own numbers), their count, starts and sizes of each one's targets, the targets, and the source's number."""
+    top = max(int(src.max(initial=0)), int(dst.max(initial=0)), source)
+    ids = None
+    if top > 4 * len(src) + 1000:
+        ids, ends = np.unique(np.concatenate((src, dst, [source])), return_inverse=True)
+        src, dst, source, top = ends[: len(src)], ends[len(src) : -1], int(ends[-1]), len(ids) - 1
+    sizes = np.bincount(src, minlength=top + 1)
+    return ids, top + 1, np.cumsum(sizes) - sizes, sizes, dst[stable_order(src, top)], source
+
+
+def stable_order(keys: np.ndarray, top: int) -> np.ndarray:
+    """The stable order of keys from 0 to ``top``: sixteen bits at a time, for which numpy has a linear sort."""
+    order = np.argsort((keys & 0xFFFF).astype(np.uint16), kind="stable")
+    for shift in range(16, int(top).bit_length(), 16):
+        order = order[np.argsort((keys[order] >> shift & 0xFFFF).astype(np.uint16), kind="stable")]
+    return order
 
 
 def bfs_kernel(source: int, max_hops: int | None) -> Kernel:
-    """Hops (kind 0, by vertex) from ``source`` by expanding whole frontiers over sorted adjacency; seconds (kind 1, by level)."""
+    """Hops (kind 0, by vertex) from ``source`` by expanding whole frontiers over sorted adjacency; ``n`` and seconds of each level (kind 1, by level)."""
 
     def kernel(src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
-        ids, ends = np.unique(np.concatenate((src, dst, [source])), return_inverse=True)
-        order = np.argsort(ends[: len(src)], kind="stable")
-        targets = ends[len(src) : -1][order]
-        starts = np.searchsorted(ends[: len(src)][order], np.arange(len(ids) + 1))
-        hop = np.full(len(ids), -1, dtype=np.int32)
-        frontier, level = ends[-1:], 0
+        ids, n, starts, sizes, targets, start = by_source(src, dst, source)
+        hop = np.full(n, -1, dtype=np.int32)
+        frontier, level, seconds, many_new = np.array([start]), 0, [0.0], [1]
         hop[frontier] = 0
-        seconds = []
         while len(frontier) and (max_hops is None or level < max_hops):
             level, began = level + 1, time.perf_counter()
-            first, sizes = starts[frontier], starts[frontier + 1] - starts[frontier]
-            at = np.repeat(first - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-            found = np.unique(targets[at])
-            frontier = found[hop[found] < 0]
+            first, many = starts[frontier], sizes[frontier]
+            at = np.repeat(first - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+            found = np.zeros(n, dtype=bool)
+            found[targets[at]] = True
+            frontier = np.flatnonzero(found & (hop < 0))
             hop[frontier] = level
+            many_new.append(len(frontier))
             seconds.append(time.perf_counter() - began)
-        reached, k = hop >= 0, len(seconds)
+        reached, k = np.flatnonzero(hop >= 0), len(seconds)
         return {
-            "kind": np.repeat(np.array([0, 1], dtype=np.int32), (int(reached.sum()), k)),
-            "vertex": np.concatenate((ids[reached], np.arange(1, k + 1))),
+            "kind": np.repeat(np.array([0, 1], dtype=np.int32), (len(reached), k)),
+            "vertex": np.concatenate((reached if ids is None else ids[reached], np.arange(k))).astype(np.int64),
             "hop": np.concatenate((hop[reached], np.zeros(k, dtype=np.int32))),
-            "seconds": np.concatenate((np.zeros(int(reached.sum())), np.array(seconds, dtype=np.float64))),
+            "n": np.concatenate((np.zeros(len(reached), dtype=np.int64), np.array(many_new, dtype=np.int64))),
+            "seconds": np.concatenate((np.zeros(len(reached)), np.array(seconds, dtype=np.float64))),
         }
 
     return kernel
@@ -114,4 +137,4 @@ def components_kernel(src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]
             parent = up
         apart = parent[a] != parent[b]
         a, b = a[apart], b[apart]
-    return {"vertex": ids, "component": ids[parent]}
+    return {"vertex": ids.astype(np.int64), "component": ids[parent].astype(np.int64)}
