@@ -41,8 +41,21 @@ def send_offsets(graph: Graph, owners: int = OWNERS) -> DataFrame:
 
 
 def packed(vertices: DataFrame, owners: int = OWNERS) -> DataFrame:
-    """Vertices in the order of a send buffer: partitioned by owner, sorted in each partition."""
-    return vertices.select(owner("vertex", owners).alias("owner"), "vertex").repartition("owner").sortWithinPartitions("owner", "vertex")
+    """Vertices in the order of the send buffers: sorted by owner, then id, over as many partitions as it takes."""
+    return vertices.select(owner("vertex", owners).alias("owner"), "vertex").repartitionByRange("owner", "vertex").sortWithinPartitions("owner", "vertex")
+
+
+def send_buffer(vertices: DataFrame, owners: int = OWNERS, range_size: int = 1 << 20) -> DataFrame:
+    """``owner``, ``vertex``, ``place``: each vertex's place, from 0, in the buffer for its owner, by ascending id.
+
+    Two levels: counts of id ranges are added up first, then each range on its own, so no task gets all of an owner.
+    """
+    held = vertices.select(owner("vertex", owners).alias("owner"), "vertex", F.floor(F.col("vertex") / range_size).alias("range"))
+    counted = held.groupBy("owner", "range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("owner").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counted.select("owner", "range", F.coalesce(before, F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("owner", "range").orderBy("vertex")) - 1
+    return held.withColumn("inside", inside).join(starts, ["owner", "range"]).select("owner", "vertex", (F.col("start") + F.col("inside")).alias("place"))
 
 
 def split_local_remote(vertices: DataFrame, rank: int, owners: int = OWNERS) -> DataFrame:

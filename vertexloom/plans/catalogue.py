@@ -20,7 +20,7 @@ from vertexloom.operators import results as R
 from vertexloom.operators import stencil
 from vertexloom.plans import graphs as G
 from vertexloom.plans.oracles import oracles
-from vertexloom.plans.staging import shared_folder
+from vertexloom.plans.staging import work_folder
 from vertexloom.sources import edges as E
 from vertexloom.sources import runlogs as L
 
@@ -121,8 +121,13 @@ def send_offsets(s, d):
 
 @query
 def send_buffer(s, d):
-    packed = X.packed(G.chain(s, d).vertices())
-    return packed.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy("vertex")) - 1)
+    return X.send_buffer(G.chain(s, d).vertices(), range_size=64)
+
+
+@query
+def packed_vertices(s, d):
+    buffer = X.packed(G.chain(s, d).vertices())
+    return buffer.select("owner", "vertex", F.monotonically_increasing_id().alias("at")).withColumn("later", F.lead("vertex").over(Window.partitionBy("owner").orderBy("at"))).select("owner", "vertex", "later")
 
 
 @query
@@ -480,7 +485,7 @@ def result_efficiency(s, d):
 
 
 def _folder(s, name):
-    return f"{shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+    return f"{work_folder(s)}/{name}-{uuid.uuid4().hex}"
 
 
 @query

@@ -108,7 +108,9 @@ SELECT vertex, coalesce(sum(degree) OVER (ORDER BY vertex ROWS BETWEEN UNBOUNDED
         "send_offsets": f"""WITH {e1}, c AS (SELECT (src % 4)::INTEGER AS from_owner, (dst % 4)::INTEGER AS to_owner, count(*) AS count FROM e GROUP BY 1, 2)
 SELECT from_owner, to_owner, count, coalesce(sum(count) OVER (PARTITION BY from_owner ORDER BY to_owner ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM c""",
         "send_buffer": f"""WITH {e1}, v AS (SELECT src AS vertex FROM e UNION SELECT dst FROM e)
-SELECT (vertex % 4)::INTEGER AS owner, vertex, (row_number() OVER (PARTITION BY vertex % 4 ORDER BY vertex) - 1)::INTEGER AS place FROM v""",
+SELECT (vertex % 4)::INTEGER AS owner, vertex, (row_number() OVER (PARTITION BY vertex % 4 ORDER BY vertex) - 1)::BIGINT AS place FROM v""",
+        "packed_vertices": f"""WITH {e1}, v AS (SELECT src AS vertex FROM e UNION SELECT dst FROM e)
+SELECT (vertex % 4)::INTEGER AS owner, vertex, lead(vertex) OVER (PARTITION BY vertex % 4 ORDER BY vertex) AS later FROM v""",
         "local_remote_split": f"WITH {e1}, v AS (SELECT src AS vertex FROM e UNION SELECT dst FROM e) SELECT vertex, vertex % 4 = 1 AS local FROM v",
         "all_reduce": "SELECT l_linenumber::BIGINT AS index, sum(l_suppkey)::BIGINT AS value FROM lineitem GROUP BY 1",
         "all_reduce_max": "SELECT l_linenumber::BIGINT AS index, max(l_partkey) AS value FROM lineitem GROUP BY 1",

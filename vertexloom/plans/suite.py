@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vertexloom.operators import bfs as search_ops
 from vertexloom.operators import reports
-from vertexloom.plans.staging import shared_folder
+from vertexloom.plans.staging import work_folder
 from vertexloom.sources.edges import read_graph
 from vertexloom.sources.runlogs import read_logs, run_records, write_logs
 
@@ -47,7 +47,7 @@ def run_one(spark: SparkSession, path: str, source: int = 8, small_edges: int |
 
 def run_suite(spark: SparkSession, paths: list[str], source: int = 8, implementations: dict[str, int | None] | None = None, folder: str | None = None) -> DataFrame:
     """One record per graph and implementation, scraped from the logs that the runs wrote below ``folder``."""
-    folder = folder or f"{shared_folder(spark)}/suite-{uuid.uuid4().hex}"
+    folder = folder or f"{work_folder(spark)}/suite-{uuid.uuid4().hex}"
     for path in paths:
         name = os.path.basename(path.rstrip("/"))
         for suffix, small_edges in (implementations or IMPLEMENTATIONS).items():
