@@ -133,7 +133,7 @@ def test_long_records_and_packs(spark):
     rng = random.Random(5)
     noise = "".join(chr(rng.randrange(0x100, 0x2000)) for _ in range(1 << 20))
     pages = [(i, None, noise[i : i + 3000] * (1 if i else 3000)) for i in range(40)]
-    shared = warc.shared_folder(spark) + "/packs"
+    shared = warc.work_folder(spark) + "/packs"
     warc.write_archives(spark.createDataFrame(pages, SCHEMA).coalesce(1), shared, pack_bytes=9000, packs=3)
     read = warc.read_archives(spark, shared)
     assert read.select("file").distinct().count() > 3

@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.plans.staging import discard, shared_folder, stage
+from vertexloom.plans.staging import discard, stage, work_folder
 
-__all__ = ["UPPER", "again", "crc_mod", "discard", "free_names", "id_text", "packed", "shared_folder", "slices", "stage", "table"]
+__all__ = ["UPPER", "again", "crc_mod", "discard", "free_names", "id_text", "packed", "slices", "stage", "table", "work_folder"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

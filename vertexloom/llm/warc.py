@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vertexloom.llm.base import shared_folder, slices, stage
+from vertexloom.llm.base import slices, stage, work_folder
 
 VERSION, MEMBER, BLANK = b"WARC/1.", b"\x1f\x8b\x08", b"\r\n\r\n"
 DATE = "1970-01-01T00:00:00Z"
@@ -331,6 +331,6 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def archived(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back."""
-    path = f"{shared_folder(pages.sparkSession)}/warc-{uuid4().hex}"
+    path = f"{work_folder(pages.sparkSession)}/warc-{uuid4().hex}"
     write_archives(pages, path, min_bytes)
     return read_archives(pages.sparkSession, path)
