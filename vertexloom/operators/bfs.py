@@ -83,7 +83,7 @@ def bfs(graph: Graph, source: int | str | None = None, max_hops: int | None = No
     spark = graph.spark
     if is_small(graph, small_edges):
         start = _source(graph.num_vertices, source, seed)
-        done = stage(in_one_task(graph.edges, bfs_kernel(start, max_hops), "kind int, vertex long, hop int, n long, seconds double"), "bfs")
+        done = stage(in_one_task(graph, bfs_kernel(start, max_hops), "kind int, vertex long, hop int, n long, seconds double"), "bfs")
         levels = [(r["n"], r["seconds"]) for r in done.where("kind = 1").orderBy("vertex").collect()]
         for level, (n, _) in enumerate(levels):
             log.info("level %d: %d vertices", level, n)

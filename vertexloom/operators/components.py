@@ -76,7 +76,7 @@ def connected_components(graph: Graph, small_edges: int | None = None) -> DataFr
     A graph of ``small_edges`` edges or fewer is labelled in one task (0: never).
     """
     if is_small(graph, small_edges):
-        return stage(in_one_task(graph.edges, components_kernel, "vertex long, component long"), "components")
+        return stage(in_one_task(graph, components_kernel, "vertex long, component long"), "components")
     roots = star_roots(graph.edges.select(F.col("src").alias("u"), F.col("dst").alias("v")), small_edges=0)
     labelled = graph.vertices().join(roots.withColumnRenamed("node", "vertex"), "vertex", "left")
     return stage(labelled.select("vertex", F.coalesce("root", "vertex").alias("component")), "components")

@@ -65,7 +65,7 @@ def pagerank(graph: Graph, damping: float = 0.85, tol: float | None = 1e-5, max_
     """
     if is_small(graph, small_edges):
         kernel = pagerank_kernel(graph.num_vertices, damping, tol, max_iter, norm, form)
-        done = stage(in_one_task(graph.edges, kernel, "kind int, id long, value double"), "ranks")
+        done = stage(in_one_task(graph, kernel, "kind int, id long, value double"), "ranks")
         found = [r["value"] for r in sorted(done.where("kind = 1").collect(), key=lambda r: r["id"])]
         for i, difference in enumerate(found, 1):
             log.info("iteration %d: %.9g", i, difference)

@@ -13,8 +13,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from vertexloom.graph import Graph
+from vertexloom.plans.staging import stage
 
 SMALL_EDGES = 16_000_000
 SMALL_VERTICES = 16_000_000
@@ -29,24 +31,47 @@ def is_small(graph: Graph, limit: int | None = None) -> bool:
     return graph.num_edges <= (SMALL_EDGES if limit is None else limit) and graph.num_vertices <= SMALL_VERTICES
 
 
-def in_one_task(edges: DataFrame, kernel: Kernel, schema: str) -> DataFrame:
+PACKED = "n int, top long, src binary, dst binary"
+
+
+def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per batch of edges, made where they lie, so that the one task unpacks few rows: their number, largest id, and ends."""
+    for b in batches:
+        if b.num_rows:
+            ends = [b.column(i).to_numpy() for i in range(2)]
+            top, low = int(max(e.max() for e in ends)), int(min(e.min() for e in ends))
+            if 0 <= low and top < 2**31:
+                ends = [e.astype(np.int32) for e in ends]
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32()), pa.array([top], pa.int64()), *(pa.array([e.tobytes()], pa.binary()) for e in ends)], names=["n", "top", "src", "dst"])
+
+
+def packed(graph: Graph) -> Graph:
+    """The same graph with its edges packed in a written table and counted, for searches in one task; for large graphs use ``staged``."""
+    table = stage(graph.edges.select("src", "dst").mapInArrow(pack, PACKED), "packed-edges")
+    n, top = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("top"), F.lit(-1))).first()
+    out = Graph(graph.edges, top + 1)
+    out.__dict__ |= {"num_edges": n, "packed": table}
+    return out
+
+
+def in_one_task(graph: Graph | DataFrame, kernel: Kernel, schema: str) -> DataFrame:
     """The kernel's columns over all edges; the edges have been counted and are few."""
     names = [c.split()[0] for c in schema.split(", ")]
+    if (rows := graph.__dict__.get("packed")) is None:
+        edges = graph.edges if isinstance(graph, Graph) else graph
+        rows = edges.select("src", "dst").mapInArrow(pack, PACKED)
 
-    def held(column: pa.Array) -> np.ndarray:
-        values = column.to_numpy()
-        return values.astype(np.int32) if len(values) and values.max() < 2**31 and values.min() >= 0 else values
+    def values(n: int, ends: bytes) -> np.ndarray:
+        return np.frombuffer(ends, np.int32 if len(ends) == 4 * n else np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(held(b.column(0)), held(b.column(1))) for b in batches if b.num_rows]
+        parts = [(values(n, s), values(n, d)) for b in batches for n, _, s, d in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         src, dst = (np.concatenate([p[i] for p in parts] or [np.empty(0, np.int64)]) for i in range(2))
         parts.clear()
         out = kernel(src, dst)
         yield pa.RecordBatch.from_arrays([pa.array(out[n]) for n in names], names=names)
 
-    written = getattr(edges, "staged_path", None) is not None
-    gathered = edges.select("src", "dst").coalesce(1) if written else edges.select("src", "dst").repartition(1)
-    return gathered.mapInArrow(run, schema)
+    return rows.repartition(1).mapInArrow(run, schema)
 
 
 def by_source(src: np.ndarray, dst: np.ndarray, source: int) -> tuple[np.ndarray | None, int, np.ndarray, np.ndarray, np.ndarray, int]:
@@ -127,9 +152,16 @@ def pagerank_kernel(n: int, damping: float, tol: float | None, max_iter: int, no
 
 def components_kernel(src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]:
     """Least id of each component, by hooking roots onto smaller ones."""
-    ids, ends = np.unique(np.concatenate((src, dst)), return_inverse=True)
-    parent = np.arange(len(ids))
-    a, b = ends[: len(src)], ends[len(src) :]
+    top = max(int(src.max(initial=0)), int(dst.max(initial=0)))
+    if top > 4 * len(src) + 1000:
+        ids, ends = np.unique(np.concatenate((src, dst)), return_inverse=True)
+        a, b = ends[: len(src)], ends[len(src) :]
+    else:
+        seen = np.zeros(top + 1, dtype=bool)
+        seen[src] = seen[dst] = True
+        ids, a, b = np.flatnonzero(seen), src, dst
+    dense = a is src
+    parent = np.arange(top + 1 if dense else len(ids))
     while len(a):
         low, high = np.minimum(parent[a], parent[b]), np.maximum(parent[a], parent[b])
         np.minimum.at(parent, high, low)
@@ -137,4 +169,5 @@ def components_kernel(src: np.ndarray, dst: np.ndarray) -> dict[str, np.ndarray]
             parent = up
         apart = parent[a] != parent[b]
         a, b = a[apart], b[apart]
-    return {"vertex": ids.astype(np.int64), "component": ids[parent].astype(np.int64)}
+    label = parent[ids] if dense else ids[parent]
+    return {"vertex": ids.astype(np.int64), "component": label.astype(np.int64)}

@@ -34,44 +34,39 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return trimmed.where("line <> '' and not line like '\\%%' and not line like '#%'").withColumn("parts", F.split("line", " "))
 
 
-def _plain_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line``, trimmed, of what is neither blank nor a comment."""
-    trimmed = spark.read.text(path).select(F.trim(F.translate("value", "\t\r", "  ")).alias("line"))
-    return trimmed.where("line <> '' and not startswith(line, '%') and not startswith(line, '#')")
-
-
 def _is_edge() -> Column:
     word = lambda i: F.coalesce(F.try_element_at("parts", F.lit(i)).rlike(WHOLE), F.lit(False))
     return word(1) & word(2)
 
 
 def _edges(lines: DataFrame, strict: bool) -> DataFrame:
+    """``src``, ``dst`` of lines as words; rows that have them already, where there are such columns, keep them."""
+    if "src" not in lines.columns:
+        lines = lines.withColumns({"src": F.lit(None).cast("long"), "dst": F.lit(None).cast("long")})
+    known, whole = F.col("src").isNotNull(), F.col("src").isNotNull() | _is_edge()
     end = lambda i: F.try_element_at("parts", F.lit(i)).try_cast("long")
-    rows = lines if strict else lines.where(_is_edge())
-    return _checked(rows.select("line", end(1).alias("src"), end(2).alias("dst"), _is_edge().alias("whole")))
-
-
-def _checked(read: DataFrame) -> DataFrame:
-    """``src``, ``dst``; raises for lines that aren't ``whole`` and for ids out of range."""
     wrong = lambda why: F.raise_error(F.concat(F.lit(why), F.substring("line", 1, 80))).cast("long")
-    sound = F.coalesce(F.col("src").between(0, MAX_ID) & F.col("dst").between(0, MAX_ID), F.lit(False))
-    checked = F.when(sound, F.col("src")).when(F.col("whole"), wrong("vertex id out of range: ")).otherwise(wrong("not an edge: "))
-    return read.select(checked.alias("src"), "dst")
+    sound = F.coalesce(end(1).between(0, MAX_ID) & end(2).between(0, MAX_ID), F.lit(False))
+    checked = F.when(known, F.col("src")).when(sound, end(1)).when(_is_edge(), wrong("vertex id out of range: ")).otherwise(wrong("not an edge: "))
+    rows = lines.where(known | F.col("line").isNotNull() if strict else whole)
+    return rows.select(checked.alias("src"), F.when(known, F.col("dst")).otherwise(end(2)).alias("dst"))
 
 
 def read_edge_list(spark: SparkSession, path: str, strict: bool = False) -> Graph:
     """Whitespace-separated pairs; lines that begin with ``%`` or ``#`` are comments, further columns are ignored."""
-    # Two integers with a blank between need no pattern; only other lines are looked at word by word.
-    word = lambda i: F.substring_index(F.substring_index("line", " ", i), " ", -1).try_cast("long")
-    plain = F.coalesce(F.col("a").between(0, MAX_ID) & F.col("b").between(0, MAX_ID) & F.contains("line", F.lit(" ")), F.lit(False))
-    parts = F.split(F.regexp_replace("line", r"\s+", " "), " ")
-    lines = _plain_lines(spark, path).select("line", word(1).alias("a"), word(2).alias("b"))
-    lines = lines.withColumn("parts", F.when(plain, F.lit(None)).otherwise(parts)).select("line", "parts", "a", "b", plain.alias("plain"))
-    if not strict:
-        lines = lines.where(F.col("plain") | _is_edge())
-    end = lambda i: F.try_element_at("parts", F.lit(i)).try_cast("long")
-    src, dst = F.when(F.col("plain"), F.col("a")).otherwise(end(1)), F.when(F.col("plain"), F.col("b")).otherwise(end(2))
-    return Graph(_checked(lines.select("line", src.alias("src"), dst.alias("dst"), (F.col("plain") | _is_edge()).alias("whole"))))
+    # Two integers with one blank between need no pattern; all other lines are looked at word by word.
+    first, last = F.substring_index("value", " ", 1), F.substring_index("value", " ", -1)
+    a, b = first.try_cast("long"), last.try_cast("long")
+    one_blank = F.octet_length(first) + F.octet_length(last) + 1 == F.octet_length("value")
+    plain = F.coalesce(one_blank & a.between(0, MAX_ID) & b.between(0, MAX_ID), F.lit(False))
+    line = F.trim(F.regexp_replace("value", r"\s+", " "))
+    comment = (line == "") | line.startswith("%") | line.startswith("#")
+    words = F.when(~comment, F.struct(line.alias("line"), F.split(line, " ").alias("parts")))
+    # One column says it all, so that a line is looked at once: an edge, words, or nothing.
+    nothing = F.lit(None).cast("struct<line:string,parts:array<string>>")
+    found = F.when(plain, F.struct(a.alias("src"), b.alias("dst"), nothing.alias("w"))).otherwise(F.struct(F.lit(None).cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), words.alias("w")))
+    read = spark.read.text(path).select(F.explode(F.array(found)).alias("e")).select("e.*")
+    return Graph(_edges(read.select("src", "dst", "w.line", "w.parts"), strict))
 
 
 def bad_lines(spark: SparkSession, path: str) -> DataFrame:
