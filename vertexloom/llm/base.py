@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from vertexloom.plans.staging import discard, stage, work_folder
 
-__all__ = ["UPPER", "again", "crc_mod", "discard", "free_names", "id_text", "packed", "slices", "stage", "table", "work_folder"]
+__all__ = ["UPPER", "again", "arrow_batches", "crc_mod", "discard", "free_names", "id_text", "packed", "slices", "stage", "staged_in_batches", "table", "work_folder"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -33,6 +34,27 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 1 << 22) ->
             yield batch.slice(at, step)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, an action sends ``rows`` rows in a batch to Python at most; the session's own setting comes back after it.
+
+    A matter of memory only: no result depends on the batches.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def staged_in_batches(df: DataFrame, name: str, rows: int) -> DataFrame:
+    """``stage`` of a frame made in Python, with ``rows`` rows in a batch at most."""
+    with arrow_batches(df.sparkSession, rows):
+        return stage(df, name)
+
+
 def id_text(col: Column) -> Column:
     """An id as text; a null id is the empty text."""
     return F.coalesce(col.cast("string"), F.lit(""))

@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vertexloom.llm.base import id_text, slices, stage
+from vertexloom.llm.base import arrow_batches, id_text, slices, stage
 from vertexloom.llm.pieces import _appended, _with
 
 TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+")
 DIMENSIONS, NONZERO, REACH = 256, 8, 2
 CAPITALS, REPEAT = "<capitals>", "<repeat>"
+#: Rows in a batch that is sent to Python.
+BATCH = 500
 #: Tasks of the fit, over the bounded sample; blocks that the sums of context vectors are added up in.
 FIT_TASKS, BLOCKS = 12, 8
 #: Tokens whose products a worker remembers beside the vocabulary, and the longest among them; tokens pooled at once.
@@ -238,7 +240,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows:
             yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
     counted = sample.select("text").mapInArrow(count, "word string, n long").where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r["word"] for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    with arrow_batches(spark, BATCH):
+        words = [r["word"] for r in counted.where("n > 1").orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
     vectors = _context_vectors(sample, words) + index_vectors(words)
     sent = spark.sparkContext.broadcast((words, vectors))
 

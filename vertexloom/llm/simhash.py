@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from vertexloom.llm.base import discard, free_names, slices, stage
+from vertexloom.llm.base import discard, free_names, slices, stage, staged_in_batches
 from vertexloom.operators.components import star_roots
 
 SHINGLE, SEED = 3, 42
 MAX_BITS = 3
+#: Rows in a batch that is sent to Python.
+BATCH = 1000
 #: Distinct fingerprints that a leaf is meant to hold, and of the sample, which grows with the number of leaves: its size at least,
 #: and points per leaf.  So a leaf's size is known to a tenth at any number of leaves, and the sample is one in 128 fingerprints at most.
 LEAF, SAMPLE, PER_LEAF = 32768, 16384, 256
@@ -236,7 +238,7 @@ def classes_of(found: DataFrame, max_bits: int, leaf: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` (the smallest reachable doc_id) of every row of ``docs``."""
-    found = stage(fingerprints(docs), "simhash")
+    found = staged_in_batches(fingerprints(docs), "simhash", BATCH)
     return found.join(classes_of(found, max_bits, leaf), "fp").select("doc_id", "fp", "component_id")
 
 
@@ -248,7 +250,7 @@ def representatives(docs: DataFrame, max_bits: int = MAX_BITS, leaf: int = LEAF)
     """
     hashable = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
     k1, k2 = F.xxhash64(*hashable), F.xxhash64(F.lit("second"), *hashable)
-    found = stage(marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), "text")), "simhash")
+    found = staged_in_batches(marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), "text")), "simhash", BATCH)
     rooted = stage(found.join(classes_of(found, max_bits, leaf), "fp").select("root", F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2"), "simhash-rows")
     # One row of each component: the least; its key may stand for several equal rows.
     best = rooted.groupBy("root").agg(F.min(F.struct("unnamed", "doc_id", "k1", "k2")).alias("b"), F.count("*").alias("n"))
