@@ -16,13 +16,18 @@ from vertexloom.operators.small import SMALL_EDGES, components_kernel, in_one_ta
 from vertexloom.plans.staging import discard, stage
 
 
-def _least(pairs: DataFrame) -> DataFrame:
+#: Pairs from which on a hub may be worth splitting.
+MANY = 5_000_000
+
+
+def _least(pairs: DataFrame, many: bool) -> DataFrame:
     """``u`` and the least, ``m``, of its neighbourhood.
 
-    Written, so that the join back to the edges stands on two plain exchanges: only then can adaptive
-    execution split the partition of a hub.
+    Where there are ``many`` pairs it is written, so that the join back to the edges stands on two plain exchanges:
+    only then can adaptive execution split the partition of a hub.
     """
-    return stage(pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "star-minima")
+    least = pairs.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    return stage(least, "star-minima") if many else least
 
 
 def _state() -> tuple[Column, Column]:
@@ -30,18 +35,18 @@ def _state() -> tuple[Column, Column]:
     return F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
 
 
-def large_star(edges: DataFrame) -> DataFrame:
+def large_star(edges: DataFrame, many: bool = False) -> DataFrame:
     """Every larger neighbour is linked to the least of the neighbourhood.  A written table."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both)
+    least = _least(both, many)
     linked = stage(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
     discard(least)
     return linked
 
 
-def small_star(edges: DataFrame) -> tuple[DataFrame, tuple]:
+def small_star(edges: DataFrame, many: bool = False) -> tuple[DataFrame, tuple]:
     """Every smaller neighbour, and the vertex itself, is linked to the least of them.  A written table, and its state, seen on the way."""
-    least, seen = _least(edges), Observation()
+    least, seen = _least(edges, many), Observation()
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     linked = moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
     written = stage(linked.observe(seen, *_state()), "small-stars")
@@ -64,9 +69,10 @@ def star_roots(pairs: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
         if state[0] <= small_edges:
             found = in_one_task(edges.select(F.col("u").alias("src"), F.col("v").alias("dst")), components_kernel, "vertex long, component long")
             return found.where("vertex <> component").select(F.col("vertex").alias("node"), F.col("component").alias("root"))
-        before, large = state, large_star(edges)
+        many = state[0] > MANY
+        before, large = state, large_star(edges, many)
         discard(edges)
-        edges, state = small_star(large)
+        edges, state = small_star(large, many)
         discard(large)
 
 
