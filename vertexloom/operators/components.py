@@ -62,14 +62,17 @@ def star_roots(pairs: DataFrame, small_edges: int = SMALL_EDGES) -> DataFrame:
     seen = Observation()
     distinct = pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = stage(distinct.observe(seen, *_state()), "stars")
-    before, state = None, (seen.get["n"], seen.get["h"])
+    before, state, rounds = None, (seen.get["n"], seen.get["h"]), 0
     while True:
         if state == before or not state[0]:
+            pairs.sparkSession.sparkContext.setJobDescription(None)
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         if state[0] <= small_edges:
             found = in_one_task(edges.select(F.col("u").alias("src"), F.col("v").alias("dst")), components_kernel, "vertex long, component long")
             return found.where("vertex <> component").select(F.col("vertex").alias("node"), F.col("component").alias("root"))
         many = state[0] > MANY
+        rounds += 1
+        pairs.sparkSession.sparkContext.setJobDescription(f"components: round {rounds}")
         before, large = state, large_star(edges, many)
         discard(edges)
         edges, state = small_star(large, many)

@@ -69,6 +69,15 @@ def all_reduce(parts: DataFrame, how: str = "sum") -> DataFrame:
     return parts.groupBy("index").agg(reduce("value").alias("value"))
 
 
+def all_gather(parts: DataFrame) -> DataFrame:
+    """``rank``, ``values``: every rank gets the values (``rank``, ``index``, ``value``) of all, in order of rank and index.
+
+    A vector of some thousand entries, as a scalar subquery: it is held whole by definition.
+    """
+    whole = parts.agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "index", "value"))), lambda x: x["value"]).alias("values"))
+    return parts.select("rank").distinct().select("rank", whole.scalar().alias("values"))
+
+
 def axpy(x: DataFrame, y: DataFrame, a: float) -> DataFrame:
     """``index``, ``value`` = y + a * x, joined by index."""
     joined = x.select("index", F.col("value").alias("x")).join(y.select("index", F.col("value").alias("y")), "index")

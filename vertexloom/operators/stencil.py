@@ -53,6 +53,7 @@ def relax(cells: DataFrame, nx: int, ny: int, steps: int = 1000, tol: float = 1e
     old = None
     for number in range(steps):
         seen, checked = Observation(), number % check_every == 0
+        cells.sparkSession.sparkContext.setJobDescription(f"relaxation: step {number + 1}")
         moved = relax_step(cells, nx, ny)
         if checked:
             moved = moved.observe(seen, F.sqrt(F.sum((F.col("value") - F.col("prev")) * (F.col("value") - F.col("prev")))).alias("n"))
@@ -64,6 +65,7 @@ def relax(cells: DataFrame, nx: int, ny: int, steps: int = 1000, tol: float = 1e
             norms.append(seen.get["n"])
             if norms[-1] <= tol:
                 break
+    cells.sparkSession.sparkContext.setJobDescription(None)
     return Relaxation(cells, norms)
 
 

@@ -147,6 +147,13 @@ def all_reduce_max(s, d):
     return X.all_reduce(lines.select(F.col("l_linenumber").cast("long").alias("index"), F.col("l_partkey").alias("value")), "max")
 
 
+@query
+def all_gather(s, d):
+    nations = s.read.parquet(f"{d}/nation.parquet")
+    parts = nations.select(F.col("n_regionkey").cast("int").alias("rank"), F.col("n_nationkey").cast("long").alias("index"), F.col("n_nationkey").cast("long").alias("value"))
+    return X.all_gather(parts).select("rank", F.array_join("values", ",").alias("gathered"))
+
+
 @query
 def axpy(s, d):
     x = s.range(1000).select(F.col("id").alias("index"), F.col("id").cast("double").alias("value"))

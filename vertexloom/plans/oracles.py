@@ -114,6 +114,8 @@ SELECT (vertex % 4)::INTEGER AS owner, vertex, lead(vertex) OVER (PARTITION BY v
         "local_remote_split": f"WITH {e1}, v AS (SELECT src AS vertex FROM e UNION SELECT dst FROM e) SELECT vertex, vertex % 4 = 1 AS local FROM v",
         "all_reduce": "SELECT l_linenumber::BIGINT AS index, sum(l_suppkey)::BIGINT AS value FROM lineitem GROUP BY 1",
         "all_reduce_max": "SELECT l_linenumber::BIGINT AS index, max(l_partkey) AS value FROM lineitem GROUP BY 1",
+        "all_gather": """SELECT rank, (SELECT string_agg(n_nationkey::VARCHAR, ',' ORDER BY n_regionkey, n_nationkey) FROM nation) AS gathered
+FROM (SELECT DISTINCT n_regionkey::INTEGER AS rank FROM nation)""",
         "axpy": "SELECT i AS index, (i % 7) + 3.5::DOUBLE * i AS value FROM range(1000) t(i)",
         "sine_wave": "SELECT i AS index, round(sin(i::DOUBLE), 9) AS value FROM range(500) t(i)",
         "degrees": f"WITH {e1}, {degree} SELECT vertex, degree FROM d",
