@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from vertexloom.graph import Graph
 from vertexloom.plans.staging import stage
 
-SMALL_EDGES = 16_000_000
-SMALL_VERTICES = 16_000_000
+SMALL_EDGES = 8_000_000
+SMALL_VERTICES = 8_000_000
 
 Kernel = Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]
 
