@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,12 +27,25 @@ def again(staged: DataFrame) -> DataFrame:
     return staged.sparkSession.read.schema(staged.schema).parquet(staged.staged_path)
 
 
+def give_back() -> None:
+    """Return memory that this process holds but doesn't use to the system: Python workers serve one task after the other."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that a Python worker unpacks ``rows`` rows and about ``size`` bytes at once at most; empty ones go."""
+    """The batches, cut so that a Python worker unpacks ``rows`` rows and about ``size`` bytes at once at most; empty ones go.
+
+    What the worker's task before has left is given back first, and at the end what this one has.
+    """
+    give_back()
     for batch in batches:
         step = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        del batch
+    give_back()
 
 
 @contextmanager

@@ -35,7 +35,7 @@ MARK = "▁"
 #: Word characters that some piece joins to a sign count as signs.
 JOINED = re.compile(r"([^\W_])[\W_]|[\W_]([^\W_])")
 #: Words whose pieces a worker remembers, and their characters in all; then it starts anew.
-REMEMBERED, REMEMBERED_CHARACTERS = 200_000, 20_000_000
+REMEMBERED, REMEMBERED_CHARACTERS = 120_000, 10_000_000
 
 
 class Vocabulary:
