@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vertexloom.graph import MAX_ID, Graph
+from vertexloom.plans.staging import discard
 
 WHOLE = "^[+-]?[0-9]+$"
 
@@ -131,11 +132,22 @@ def write_edge_list(graph: Graph, path: str) -> None:
 
 
 def write_matrix_market(graph: Graph, path: str) -> None:
-    """Banner, size line, and one ``src dst`` line per edge, in one file, as the format has it."""
-    size = graph.size().first()
-    n = size["num_vertices"]
-    head = graph.spark.createDataFrame([("%%MatrixMarket matrix coordinate pattern general",), (f"{n} {n} {size['num_edges']}",)], "value string").coalesce(1)
-    head.union(graph.edges.select(F.concat_ws(" ", "src", "dst").alias("value"))).coalesce(1).write.text(path)
+    """Banner, size line, and one ``src dst`` line per edge, in one file, as the format has it.
+
+    The edges are made and counted in parallel; one task copies them.  It puts the head before its own first line, because
+    Spark may read the parts of a union in any order.
+    """
+    held = graph.staged()
+    n, entries = held.size().first()
+    head = F.lit(f"%%MatrixMarket matrix coordinate pattern general\n{n} {n} {entries}")
+    line = F.concat_ws(" ", "src", "dst")
+    if entries:
+        copied = held.edges.coalesce(1).withColumn("at", F.monotonically_increasing_id())
+        lines = copied.select(F.when(F.col("at") == 0, F.concat_ws("\n", head, line)).otherwise(line).alias("value"))
+    else:
+        lines = graph.spark.range(0, 1, 1, 1).select(head.alias("value"))
+    lines.write.text(path)
+    discard(held.edges)
 
 
 def read_graph(spark: SparkSession, path: str, strict: bool = False) -> Graph:
