@@ -112,6 +112,18 @@ def test_matrix_market_head_comes_first(spark, tmp_path):
         assert edges.read_header(spark, str(tmp_path / name)) == edges.GraphHeader(n, n, entries)
 
 
+def test_matrix_market_of_shuffled_edges_has_no_further_edge(spark, tmp_path):
+    graph = graphs.power_law(spark, 8, 2000).partitioned(3)
+    edges.write_matrix_market(graph, str(tmp_path / "g"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")  # so that the file is read in several blocks
+    try:
+        read, header = edges.read_matrix_market(spark, str(tmp_path / "g"), strict=True)
+        assert header.entries == 2000 and values(read.edges, "src", "dst") == values(graph.edges, "src", "dst")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_logs_round_trip_through_csv(spark, tmp_path):
     logs = tmp_path / "logs"
     logs.mkdir()
